@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_documents
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
+from .packing import pack_documents
 from .sharding import shard_by_bytes
+from .simhash import near_duplicates
 from .warc import archive_round_trip
 
 
+def tokenizer_path() -> str:
+    """Place of the byte-level BPE file among the installed public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,16 +31,31 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-duplicate components of all documents."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard all documents by bytes, equal texts together."""
     return shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document."""
+    return encode_documents(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of every document and its edited text."""
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents' tokens into windows of 2048."""
+    return pack_documents(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of equal texts; the largest id of a class stays."""
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
@@ -40,8 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_warc,
+        op3_simhash,
         op6_sharding,
+        op7_bpe,
         op8_fingerprints,
+        op9_packing,
         op10_exact_dedup,
     )
 }
