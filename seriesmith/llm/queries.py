@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
+from .language import identify_documents, identify_pages
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
+from .toxicity import score_toxicity
 from .warc import archive_round_trip
 
 
@@ -26,6 +28,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to WARC archives and read them back through the index."""
     return archive_round_trip(spark, _table(spark, sf_dir, "pages"))
@@ -36,6 +43,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return identify_documents(_table(spark, sf_dir, "documents"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages, by text, markup, address and host."""
+    return identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard all documents by bytes, equal texts together."""
     return shard_by_bytes(_table(spark, sf_dir, "documents"))
@@ -64,8 +81,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_warc,
         op3_simhash,
+        op5_language,
+        language_of_pages,
         op6_sharding,
         op7_bpe,
         op8_fingerprints,
