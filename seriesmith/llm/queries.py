@@ -10,6 +10,7 @@ from .bpe import encode_documents
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
 from .language import identify_documents, identify_pages
+from .lm_scoring import score_documents
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
@@ -43,6 +44,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def vocabulary_path() -> str:
+    """Place of the 32k-piece vocabulary among the installed public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marginal log-probabilities of all documents."""
+    return score_documents(spark, _table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents."""
     return identify_documents(_table(spark, sf_dir, "documents"))
@@ -84,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_toxicity,
         op2_warc,
         op3_simhash,
+        op4_lm_scoring,
         op5_language,
         language_of_pages,
         op6_sharding,
