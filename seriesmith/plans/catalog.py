@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import series
+from . import points, series
 
-_MODULES = (series,)
+_MODULES = (series, points)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
