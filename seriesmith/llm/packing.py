@@ -12,16 +12,21 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import definition_of, shared_automaton
+from .bpe import SPLIT, byte_letters, definition_of
 
 WINDOW, END_ID = 2048, 1
 
@@ -34,6 +39,43 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 Piece = tuple[int, int, bytes]
 
 
+class Encoder:
+    """Ids of whole texts under a byte-level BPE tokenizer file.
+
+    The ids are those of the tokenizers library; tiktoken makes them from the
+    same vocabulary about eight times as fast. It takes a token's id as its
+    rank, which the file must bear out. Special tokens stand for themselves.
+    """
+
+    def __init__(self, definition: str):
+        spec, letters = json.loads(definition), byte_letters()
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        raw = lambda s: bytes(letters[c] for c in s)
+        ranks = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        made = [ranks[raw(m.replace(" ", "") if isinstance(m, str) else "".join(m))] for m in spec["model"]["merges"]]
+        if any(a >= b for a, b in zip(made, made[1:])):
+            raise ValueError("the vocabulary's ids don't follow the order of its merges")
+        self.model = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if not any(mark in text for mark in self.special):
+            return self.model.encode_to_numpy(text).astype("<u4", copy=False).tobytes() if text else b""
+        return b"".join(
+            self.special[part].to_bytes(WIDTH, "little") if i % 2 else self.ids(part) for i, part in enumerate(self.marks.split(text))
+        )
+
+
+def shared_encoder(definition: str) -> Encoder:
+    """The worker's encoder for a tokenizer file, made once a process."""
+    kept = sys.__dict__.setdefault("_seriesmith_encoders", {})
+    key = hashlib.md5(definition.encode()).digest()
+    if key not in kept:
+        kept[key] = Encoder(definition)
+    return kept[key]
+
+
 class SumOfSquares:
     """Online packing into windows of ``size`` tokens.
 
@@ -140,7 +182,7 @@ def pack_documents(
     names = ["doc_id", *(x.split()[0] for x in PIECES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, packer = shared_automaton(definition.value), SumOfSquares(size)
+        encoder, packer = shared_encoder(definition.value), SumOfSquares(size)
         sequence = TaskContext.get().partitionId() << 32
         number, kept = 0, {}  # documents with ids in open windows: (id, tokens, ids to come)
 
@@ -168,7 +210,7 @@ def pack_documents(
         for b in batches:
             kind, found = b.column(0).type, []
             for name, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = b"".join(automaton.entries(text.as_py() or "")) + end
+                ids = encoder.ids(text.as_py() or "") + end
                 tokens = len(ids) // WIDTH
                 number += 1
                 kept[number] = [name, tokens, tokens]
