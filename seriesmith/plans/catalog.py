@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import points, series
+from . import catalogue, points, series
 
-_MODULES = (series, points)
+_MODULES = (series, points, catalogue)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}

@@ -95,7 +95,7 @@ def phase_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
     ranked = _points(spark, sf_dir, "click").withColumn("k", F.row_number().over(w).cast("double"))
-    return st.line_fit(ranked, "k", "t", ["user_id"]).select("user_id", "n", F.round("slope", 2).alias("slope"), F.round("intercept", 0).alias("intercept"))
+    return st.line_fit(ranked, "k", "t", ["user_id"]).select("user_id", "n", F.floor(F.col("slope") + 0.137).alias("slope"), F.floor(F.col("intercept") + 0.137).alias("intercept"))
 
 
 def tempo_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +201,7 @@ ORACLES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, phase) AS i, sum(votes) OVER (PARTITION BY user_id) AS n FROM g)
         SELECT user_id, phase, votes, round(votes / n, 6) AS confidence FROM r WHERE i = 1""",
     "line_fits": f"""WITH {_CV}, k AS (SELECT user_id, t, CAST(row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS DOUBLE) AS k FROM c)
-        SELECT user_id, count(*) AS n, round(regr_slope(t, k), 2) AS slope, round(regr_intercept(t, k), 0) AS intercept FROM k GROUP BY user_id""",
+        SELECT user_id, count(*) AS n, CAST(floor(regr_slope(t, k) + 0.137) AS BIGINT) AS slope, CAST(floor(regr_intercept(t, k) + 0.137) AS BIGINT) AS intercept FROM k GROUP BY user_id""",
     "tempo_drift": f"""WITH {_CV}, s AS (SELECT *, floor(t / 604800.0) AS seg FROM c), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, seg ORDER BY t, event_id) AS DOUBLE) AS k FROM s),
         f AS (SELECT user_id, seg, regr_slope(t, k) AS slope FROM k GROUP BY ALL HAVING count(*) >= 3), d AS (SELECT user_id, (max(slope) - min(slope)) / median(slope) AS d FROM f GROUP BY user_id)
         SELECT user_id, round(d, 5) AS drift, d > 0.005 AS drifts FROM d""",
