@@ -1,0 +1,223 @@
+"""Kernels on sampled signals: spectra, onsets, masks, gates and one-hit profiles.
+
+Signals come as blocks of samples; a kernel gets one signal as a numpy array.
+The Spark side runs them by (track, stem) through :func:`by_signal`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Band edges (Hz), frames, onset rule and floors.
+BANDS = [20, 120, 500, 2000, 6000, 20000]
+FRAME = 4096
+RESOLUTIONS = [(2048, 512, 128), (1024, 256, 64), (512, 128, 32)]
+RISE_DB, RISE_S, GAP_S = 15.0, 0.010, 0.050
+
+
+def frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
+    """Hann-windowed frames; a short signal is padded to one."""
+    if len(x) < size:
+        x = np.pad(x, (0, size - len(x)))
+    return np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * np.hanning(size)
+
+
+def band_energy(x: np.ndarray, rate: int, bands: list[float] = BANDS, size: int = FRAME) -> tuple[np.ndarray, np.ndarray]:
+    """(frame centres in seconds, [frame, band] power)."""
+    power = np.abs(np.fft.rfft(frames(x, size, size), axis=1)) ** 2 / size
+    hz = np.fft.rfftfreq(size, 1 / rate)
+    sums = np.stack([power[:, (hz >= a) & (hz < b)].sum(axis=1) for a, b in zip(bands, bands[1:])], axis=1)
+    return (np.arange(len(power)) * size + size / 2) / rate, sums
+
+
+def bar_power(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Mean square between sample indices, nan for an empty bar."""
+    total = np.concatenate([[0.0], np.cumsum(x.astype(float) ** 2)])
+    at = np.clip(edges, 0, len(x))
+    n = np.diff(at)
+    return np.where(n > 0, np.diff(total[at]) / np.maximum(n, 1), np.nan)
+
+
+def mel_filters(rate: int, size: int, count: int) -> np.ndarray:
+    """Triangles evenly spaced in mel from 20 Hz to the Nyquist frequency."""
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = 700 * (10 ** (np.linspace(mel(20.0), mel(rate / 2), count + 2) / 2595) - 1)
+    hz = np.fft.rfftfreq(size, 1 / rate)
+    up = (hz[None, :] - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
+    down = (edges[2:, None] - hz[None, :]) / (edges[2:] - edges[1:-1])[:, None]
+    return np.maximum(0.0, np.minimum(up, down))
+
+
+def loudest(x: np.ndarray, rate: int, span: float = 0.001) -> float:
+    """RMS of the loudest millisecond."""
+    n = max(1, int(rate * span))
+    total = np.concatenate([[0.0], np.cumsum(x.astype(float) ** 2)])
+    return float(np.sqrt((total[n:] - total[:-n]).max() / n)) if len(x) >= n else float(np.sqrt((x**2).mean())) if len(x) else 0.0
+
+
+def spectral_distance(a: np.ndarray, b: np.ndarray, rate: int, floor_db: float = 60.0, most_s: float = 2.0) -> float:
+    """Distance of two sounds: spectral convergence plus mean log difference, over three resolutions.
+
+    Both lose their mean and are brought to one loudness; log magnitudes
+    stop ``floor_db`` under the louder peak, and silent frames don't count.
+    """
+    n = min(len(a), len(b), int(most_s * rate))
+    if n == 0:
+        return 0.0
+    sides = []
+    for x in (a[:n], b[:n]):
+        x = x - x.mean()
+        peak = loudest(x, rate)
+        sides.append(x * (0.1 / peak) if peak > 1e-6 else x)
+    terms = []
+    for size, hop, bands in RESOLUTIONS:
+        filters = mel_filters(rate, size, bands)
+        p, q = (np.abs(np.fft.rfft(frames(x, size, hop), axis=1)) @ filters.T for x in sides)
+        top = max(p.max(), q.max())
+        if top <= 0:
+            terms.append(0.0)
+            continue
+        low = top * 10 ** (-floor_db / 20)
+        active = (np.maximum(p, q).max(axis=1) > low)
+        p, q = p[active], q[active]
+        convergence = np.linalg.norm(p - q) / (0.5 * (np.linalg.norm(p) + np.linalg.norm(q)))
+        logs = np.abs(np.log(np.maximum(p, low)) - np.log(np.maximum(q, low))).mean()
+        terms.append(float(convergence + logs))
+    return float(np.mean(terms))
+
+
+def envelope(x: np.ndarray, rate: int, span: float = 0.001) -> np.ndarray:
+    """Mean square of every millisecond."""
+    n = max(1, int(rate * span))
+    whole = len(x) // n * n
+    return (x[:whole].astype(float).reshape(-1, n) ** 2).mean(axis=1)
+
+
+def onsets(x: np.ndarray, rate: int, silence_db: float = -60.0) -> np.ndarray:
+    """Start times of hits: the 1 ms level rises 15 dB within 10 ms, at least 50 ms apart."""
+    power = envelope(x - x.mean() if len(x) else x, rate)
+    if not len(power) or power.max() <= 0:
+        return np.empty(0)
+    db = 10 * np.log10(np.maximum(power, power.max() * 10 ** (silence_db / 10)))
+    reach = int(round(RISE_S / 0.001))
+    before = np.concatenate([np.full(reach, db.min()), db])[: len(db)]
+    low = np.array([before[max(0, i - reach + 1) : i + 1].min() for i in range(len(before))])
+    rising = np.flatnonzero(db - low >= RISE_DB)
+    out: list[int] = []
+    for i in rising:
+        if not out or (i - out[-1]) * 0.001 >= GAP_S:
+            out.append(int(i))
+    return np.array(out) * 0.001
+
+
+def hits(x: np.ndarray, rate: int, start: float, step: float, near_s: float = 0.020, short_s: float = 0.060) -> pd.DataFrame:
+    """Onsets on a grid of steps: onset_s, bar, step, offset_ms, on_grid, level_db, lead_db, status."""
+    at = onsets(x, rate)
+    k = np.rint((at - start) / step)
+    rows = []
+    for i, t in enumerate(at):
+        a, b = int(t * rate), int((at[i + 1] if i + 1 < len(at) else len(x) / rate) * rate)
+        level = 20 * np.log10(max(loudest(x[a:b], rate), 1e-6))
+        lead_part = x[max(0, a - int(0.020 * rate)) : max(0, a - int(0.005 * rate))]
+        lead = 20 * np.log10(max(np.sqrt((lead_part**2).mean()), 1e-6)) - level if len(lead_part) else np.nan
+        short = i + 1 < len(at) and at[i + 1] - t < short_s
+        status = "too_short" if short else "no_lead" if np.isnan(lead) else "overlapped" if lead > -30 else "grouped"
+        off = t - (start + k[i] * step)
+        rows.append((t, int(np.floor(k[i] / 16)), int(k[i] % 16), off * 1000, bool(abs(off) <= near_s), level, lead, status))
+    return pd.DataFrame(rows, columns=["onset_s", "bar", "step", "offset_ms", "on_grid", "level_db", "lead_db", "status"])
+
+
+def soft_masks(mix: np.ndarray, stems: list[np.ndarray], power: float = 2.0, size: int = 4096) -> list[np.ndarray]:
+    """Split a mix by the stems' shares of the spectrum; the parts sum to the mix."""
+    hop = size // 4
+    pad = lambda x: np.pad(x, (size, size + (-len(x)) % hop))
+    window = np.hanning(size + 1)[:-1]
+    cut = lambda x: np.fft.rfft(np.lib.stride_tricks.sliding_window_view(pad(x), size)[::hop] * window, axis=1)
+    spectrum, weights = cut(mix), [np.abs(cut(s)) ** power for s in stems]
+    total = np.sum(weights, axis=0)
+    out = []
+    for w in weights:
+        share = np.where(total > 1e-12, w / np.maximum(total, 1e-12), 1.0 / len(stems))
+        pieces = np.fft.irfft(spectrum * share, size, axis=1) * window
+        y, norm = np.zeros(hop * (len(pieces) - 1) + size), np.zeros(hop * (len(pieces) - 1) + size)
+        for i, p in enumerate(pieces):
+            y[i * hop : i * hop + size] += p
+            norm[i * hop : i * hop + size] += window**2
+        out.append((y / np.maximum(norm, 1e-9))[size : size + len(mix)])
+    return out
+
+
+def gate(x: np.ndarray, rate: int, spans: list[tuple[float, float]], fade_s: float = 0.002) -> np.ndarray:
+    """Silence the spans, with linear fades outside of them."""
+    gain, n = np.ones(len(x)), max(1, int(fade_s * rate))
+    t = np.arange(len(x))
+    for a, b in spans:
+        gain = np.minimum(gain, np.clip(np.maximum((a * rate - t) / n, (t - b * rate) / n), 0.0, 1.0))
+    return x * gain
+
+
+def chroma(x: np.ndarray, rate: int, size: int = 8192) -> np.ndarray:
+    """Weight of each pitch class (C first) from 55 to 1760 Hz; sums to 1, or all 0."""
+    power = (np.abs(np.fft.rfft(frames(x, size, size // 2), axis=1)) ** 2).sum(axis=0)
+    hz = np.fft.rfftfreq(size, 1 / rate)
+    own = (hz >= 55) & (hz <= 1760)
+    pc = np.rint(12 * np.log2(hz[own] / 440.0) + 9).astype(int) % 12
+    out = np.bincount(pc, power[own], minlength=12)
+    return out / out.sum() if out.sum() > 0 else out
+
+
+def hit_profile(x: np.ndarray, rate: int) -> dict[str, float]:
+    """Numbers of one hit: level, falls of the envelope, pitch, noise share, bands, brightness."""
+    x = x - x.mean() if len(x) else x
+    env = envelope(x, rate)
+    if not len(env) or env.max() <= 0:
+        return {}
+    db = 10 * np.log10(np.maximum(env / env.max(), 1e-12))
+    peak = int(env.argmax())
+    fall = lambda d: float((np.flatnonzero(db >= -d).max() - peak) * 0.001)
+    spectrum = np.abs(np.fft.rfft(x * np.hanning(len(x)), max(len(x), 8192))) ** 2
+    hz = np.fft.rfftfreq(max(len(x), 8192), 1 / rate)
+    audible = (hz >= 20) & (hz <= min(20000, rate / 2))
+    p, f = spectrum[audible], hz[audible]
+    low = f <= 2000
+    tone = float(f[low][p[low].argmax()]) if low.any() else float("nan")
+    flat = float(np.exp(np.log(np.maximum(p, 1e-20)).mean()) / max(p.mean(), 1e-20))
+    shares = {f"band_{a}_{b}": float(p[(f >= a) & (f < b)].sum() / p.sum()) for a, b in zip(BANDS, BANDS[1:])}
+    return {"peak_db": 20 * float(np.log10(max(loudest(x, rate), 1e-6))), "attack_s": peak * 0.001, "fall_10_s": fall(10), "fall_20_s": fall(20), "fall_40_s": fall(40),
+            "pitch_hz": tone, "flatness": flat, "centroid_hz": float((f * p).sum() / p.sum()), **shares}
+
+
+def compare_profiles(a: dict[str, float], b: dict[str, float], limits: dict[str, float]) -> list[tuple[float, str, float]]:
+    """(score, name, difference b - a) of fields that differ by their limit or more, most telling first."""
+    found = [(abs(b[k] - a[k]) / lim, k, b[k] - a[k]) for k, lim in limits.items() if k in a and k in b and abs(b[k] - a[k]) >= lim]
+    return sorted(found, key=lambda x: (-x[0], x[1]))
+
+
+def align_lag(x: np.ndarray, y: np.ndarray, most: int) -> int:
+    """Shift of y (in samples, at most ``most``) that correlates best with x; the least of equals."""
+    n = min(len(x), len(y))
+    best, at = -np.inf, 0
+    for lag in sorted(range(-most, most + 1), key=abs):
+        u, v = x[max(0, lag) : n + min(0, lag)], y[max(0, -lag) : n - max(0, lag)]
+        score = float(u @ v / (np.linalg.norm(u) * np.linalg.norm(v) + 1e-12)) if len(u) else -np.inf
+        if score > best + 1e-12:
+            best, at = score, lag
+    return at
+
+
+def by_signal(samples: DataFrame, keys: list[str], order: str, values: str, schema: str, make: Callable[[np.ndarray], pd.DataFrame]) -> DataFrame:
+    """Run a kernel on every key's signal, put together from its blocks in order."""
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        made = make(np.concatenate([np.asarray(v, float) for v in pdf[values]]))
+        for k in reversed(keys):
+            made.insert(0, k, pdf[k].iloc[0])
+        return made
+
+    return samples.select(*keys, order, values).groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, parts_queries, points, series
+from . import catalogue, kernel_queries, parts_queries, points, series
 
-_MODULES = (series, points, catalogue, parts_queries)
+_MODULES = (series, points, catalogue, parts_queries, kernel_queries)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
