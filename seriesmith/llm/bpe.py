@@ -213,7 +213,7 @@ class Automaton:
                         if len(part) <= KEPT_LENGTH:
                             after[part] = e
                     found[i] = e
-        return [got, *found]
+        return [got, *found] if first else found  # a text may begin with a blank
 
 
 #: A blank that a chunk may not begin with: next to other white space, or last.

@@ -38,6 +38,7 @@ def test_encode_and_decode(library, definition):
         found = automaton.entries(text, automaton.digests)
         assert np.frombuffer(b"".join(automaton.entries(text)), "<u4").tolist() == want, text
         assert np.frombuffer(fast.ids(text), "<u4").tolist() == want, text
+        assert ",".join(e[0] for e in found) == ",".join(map(str, want)) and sum(e[2] for e in found) == len(want)
         assert b"".join(e[1] for e in found).decode("utf-8", "replace") == library.decode(want, skip_special_tokens=False)
 
 
