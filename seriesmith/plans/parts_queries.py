@@ -145,7 +145,7 @@ ORACLES = {
     "tonal_change": f"""WITH {BARS}, v AS (SELECT track, bar, {", ".join(f"sum(power) FILTER (WHERE stem = '{s}') AS {s}" for s in _STEMS)} FROM bars WHERE bar % 7 <> 3 GROUP BY ALL),
         m AS (SELECT track, bar, {", ".join(f"avg({s}) OVER p AS a{s}, avg({s}) OVER q AS b{s}" for s in _STEMS)}, count(*) OVER p AS n, count(*) OVER q AS k FROM v
             WINDOW p AS (PARTITION BY track ORDER BY bar RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY track ORDER BY bar RANGE BETWEEN CURRENT ROW AND 3 FOLLOWING))
-        SELECT track, bar, CASE WHEN n >= 3 AND k >= 3 THEN round(1 - ({" + ".join(f"a{s} * b{s}" for s in _STEMS)}) / sqrt(({" + ".join(f"a{s} * a{s}" for s in _STEMS)}) * ({" + ".join(f"b{s} * b{s}" for s in _STEMS)})), 5) END AS change FROM m""",
+        SELECT track, bar, CASE WHEN n >= 3 AND k >= 3 THEN round(1 - ({" + ".join(f"a{s} * b{s}" for s in _STEMS)}) / nullif(sqrt(({" + ".join(f"a{s} * a{s}" for s in _STEMS)}) * ({" + ".join(f"b{s} * b{s}" for s in _STEMS)})), 0), 5) END AS change FROM m""",
     "envelope_tempo": f"""WITH {BARS}, s AS (SELECT track, stem, bpm, CAST(floor(bar % CAST(60.0 / bpm AS DOUBLE)) AS BIGINT) AS ph, round(avg(power), 9) AS score FROM bars, (VALUES (6.0), (7.5), (10.0), (12.0), (15.0)) t(bpm) GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY track, stem ORDER BY score DESC, bpm) AS r FROM s) SELECT track, stem, CAST(bpm AS DOUBLE) AS bpm, round(score, 3) AS score FROM r WHERE r = 1""",
     "assigned_voices": """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey AS k, l_suppkey % 8 AS pitch FROM lineitem WHERE l_orderkey < 400),
