@@ -4,14 +4,20 @@ Every way to cut a word into pieces of an existing vocabulary is a path of a
 lattice. A path's probability is the product of its pieces' unigram scores
 and of a stop; the word's is the sum over all paths, by forward recursion in
 logarithms. The vocabulary's own scores (ranks, as Zipf weights) start the
-unigram scores, and one round of expected counts over the lattices of all
-training word types re-estimates them. Words of the training texts are
-pieces of the lattice as a whole too: their counts are discounted, and what
-the discount frees is spread by the subword paths:
+unigram scores, and rounds of expected counts over the lattices of all
+training word types re-estimate them, for each class of training texts
+(their language, where they state one).
 
-    P(word) = max(c - D, 0) / N + D V / N * P(word's subword paths).
+Words of the training texts are pieces of the lattice as a whole too. Their
+counts are discounted, and what a discount frees is spread by the next level:
 
-A text's score is the sum of log10 P over its words and one end token.
+    P(word | class)  = max(c_k - D_k, 0) / N_k + D_k V_k / N_k * P'(word)
+    P'(word)         = max(c - D, 0) / N + D V / N * P(subword paths | class).
+
+A text is drawn run by run (RUN words each, the last with the end token): the
+first run's class by its share of the training tokens, a later one's is the
+same with STAY and drawn anew otherwise. The score is log10 of the sum over
+all classes of runs, again by forward recursion; it needs no class.
 
 Word counts are aggregated by word. Texts are scored in blocks: the distinct
 words of a block are joined with the counts, and the block's texts meet its
@@ -37,11 +43,15 @@ FOLDS, HELD_OUT = 7, 2
 #: Longest piece of the lattice, in bytes.
 LONGEST = 8
 #: Rows of a file scored together, words counted before a task sends them on.
-BLOCK_ROWS, WORDS_HELD = 2048, 400_000
+BLOCK_ROWS, WORDS_HELD = 4096, 400_000
+#: Classes told apart at most (the largest; others are one), words of a run,
+#: and the chance that a run keeps the class of the run before.
+MOST_CLASSES, RUN, STAY = 8, 32, 0.9
 #: Lattice positions computed at a time.
 POSITIONS = 1 << 17
-#: Weight of the vocabulary's own scores, in word types, when re-estimating.
-PRIOR = 1000.0
+#: Weight of the vocabulary's own scores, in word types, when re-estimating,
+#: and how often that is done.
+PRIOR, ROUNDS = 100.0, 3
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -165,13 +175,18 @@ class Lattice:
             yield own, flat.reshape(len(own), width), sizes[own]
             at = min(stop, len(order))
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the words' marginal probabilities."""
-        out = np.zeros(len(words))
+    def log10(self, words: list[bytes], others: list[Lattice] | None = None) -> np.ndarray:
+        """log10 of the words' marginal probabilities.
+
+        With ``others``, a row for each of these lattices of the same pieces.
+        """
+        each = others or [self]
+        out = np.zeros((len(each), len(words)))
         for own, grid, sizes in self.grids(words):
-            alpha = self.forward(self.arcs(grid, sizes))
-            out[own] = (alpha[np.arange(len(own)), sizes] + sizes * 0 + self.stop) / np.log(10)
-        return out
+            arcs = self.arcs(grid, sizes)
+            for k, lattice in enumerate(each):
+                out[k, own] = (lattice.forward(arcs)[np.arange(len(own)), sizes] + lattice.stop) / np.log(10)
+        return out if others else out[0]
 
     def expected(self, words: list[bytes]) -> np.ndarray:
         """Expected uses of each piece over all paths of all words."""
@@ -185,9 +200,10 @@ class Lattice:
                 if span < 1:
                     break
                 index = arcs[n - 1, :, :span]
-                own_arcs = index != self.none
-                weight = np.exp((alpha[:, :span] + self.logs[index] + beta[:, n : n + span] - total[:, None])[own_arcs])
-                uses += np.bincount(index[own_arcs], weight, minlength=self.none + 1)
+                word, at = np.nonzero(index != self.none)
+                piece = index[word, at]
+                weight = np.exp(alpha[word, at] + self.logs[piece] + beta[word, at + n] - total[word])
+                uses += np.bincount(piece, weight, minlength=self.none + 1)
         return uses[:-1]
 
 
@@ -206,103 +222,167 @@ def located(df: DataFrame) -> DataFrame:
         return with_block(stage(df, "lm-texts"))
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(w, c): uses in training texts of every word of ``texts(text, train)``.
+def class_names(texts: DataFrame) -> list[str]:
+    """The most frequent classes of ``texts(class, train)``'s training rows."""
+    ranked = texts.filter("train and class is not null").groupBy("class").count()
+    return sorted(r["class"] for r in ranked.orderBy(F.desc("count"), "class").limit(MOST_CLASSES - 1).collect())
+
 
-    Words of other texts only have c = 0. The empty word is the end token.
+def count_words(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(w, c, c0, c1, ...): uses of every word of ``texts(text, train, class)`` in training texts.
+
+    c0 counts texts of no named class, c1 those of the first and so on. Words
+    of other texts only have counts of 0. The empty word is the end token.
     """
+    place = {n: i + 1 for i, n in enumerate(names)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        seen = [Counter() for _ in range(len(names) + 1)]
 
         def sent() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "c"])
-            seen.clear()
-            return made
+            w = [x for c in seen for x in c]
+            n = [x for c in seen for x in c.values()]
+            k = np.repeat(np.arange(len(seen), dtype=np.int32), [len(c) for c in seen])
+            for c in seen:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(k), pa.array(n, pa.int64())], ["w", "k", "c"])
 
         for b in batches:
-            for text, train in zip(b.column(0), b.column(1).to_pylist()):
+            for text, train, name in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = words_of(text.as_py())
                 words.append(b"")
+                own = seen[place.get(name, 0)] if train else seen[0]
                 if train:
-                    seen.update(words)
+                    own.update(words)
                 else:
                     for w in set(words):
-                        seen.setdefault(w, 0)
-                if len(seen) > WORDS_HELD:
+                        own.setdefault(w, 0)
+                if sum(map(len, seen)) > WORDS_HELD:
                     yield sent()
-        if seen:
+        if any(seen):
             yield sent()
 
-    return texts.select("text", "train").mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    each = [F.sum(F.when(F.col("k") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(len(names) + 1)]
+    return texts.select("text", "train", "class").mapInArrow(run, "w binary, k int, c long").groupBy("w").agg(F.sum("c").alias("c"), *each)
 
 
-def train_lattice(counts: DataFrame, vocabulary_path: str) -> Lattice:
-    """The vocabulary's scores, re-estimated over all training word types."""
+def train_lattices(counts: DataFrame, vocabulary_path: str, classes: int) -> list[Lattice]:
+    """The vocabulary's scores for each class, re-estimated ROUNDS times over its training word types."""
     start = vocabulary(vocabulary_path)
     pieces, weights = list(start), np.array(list(start.values()))
-    first = Lattice(pieces, np.log(weights), 0.0)
-    shared = counts.sparkSession.sparkContext.broadcast(first)
+    lattices = [Lattice(pieces, np.log(weights), 0.0)] * classes
+    cols = [f"c{k}" for k in range(classes)]
+    known = counts.filter("c > 0").select("w", *cols)
+    for _ in range(ROUNDS):
+        shared = counts.sparkSession.sparkContext.broadcast(lattices)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            uses, types = np.zeros((classes, len(pieces))), np.zeros(classes)
+            for b in batches:
+                words = b.column(0).to_pylist()
+                for k in range(classes):
+                    own = [w for w, c in zip(words, b.column(k + 1).to_pylist()) if c and w]
+                    uses[k] += shared.value[k].expected(own)
+                    types[k] += len(own)
+            if types.any():
+                k, g = np.nonzero(uses)
+                every = np.arange(classes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(k, every), pa.int32()), pa.array(np.append(g, np.full(classes, -1)), pa.int32()), pa.array(np.append(uses[k, g], types))],
+                    ["k", "g", "n"],
+                )
+
+        sums = known.mapInArrow(run, "k int, g int, n double").groupBy("k", "g").agg(F.sum("n").alias("n"))
+        uses, types = np.tile(weights * PRIOR, (classes, 1)), np.ones(classes)
+        for r in sums.collect():  # at most a row a piece and class
+            if r["g"] < 0:
+                types[r["k"]] += r["n"]
+            else:
+                uses[r["k"], r["g"]] += r["n"]
+        total = uses.sum(axis=1) + types
+        lattices = [Lattice(pieces, np.log(uses[k] / total[k]), float(np.log(types[k] / total[k]))) for k in range(classes)]
+    return lattices
+
+
+def _discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once and twice else 0.5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uses, types = np.zeros(len(pieces)), 0
-        for b in batches:
-            words = [w for w in b.column(0).to_pylist() if w]
-            uses += shared.value.expected(words)
-            types += len(words)
-        if types:
-            own = np.flatnonzero(uses)
-            yield pa.RecordBatch.from_arrays([pa.array([*own, -1], pa.int32()), pa.array([*uses[own], float(types)])], ["k", "n"])
-
-    sums = counts.filter("c > 0").select("w").mapInArrow(run, "k int, n double").groupBy("k").agg(F.sum("n").alias("n"))
-    uses, types = weights * PRIOR, 1.0
-    for r in sums.collect():  # at most a row a piece
-        if r["k"] < 0:
-            types += r["n"]
-        else:
-            uses[r["k"]] += r["n"]
-    total = uses.sum() + types
-    return Lattice(pieces, np.log(uses / total), float(np.log(types / total)))
+
+def text_score(runs: np.ndarray, shares: np.ndarray) -> float:
+    """log10 of the sum over all classes of runs ([run, class] log10 probabilities)."""
+    with np.errstate(divide="ignore"):
+        prior = np.log10(shares)
+    top = runs.max(axis=1)
+    each = 10 ** np.maximum(runs - top[:, None], -300)
+    state = shares * each[0]
+    out = float(top[0])
+    for k in range(1, len(runs)):
+        total = state.sum()
+        out += float(np.log10(total)) + float(top[k])
+        state = (STAY * state / total + (1 - STAY) * shares) * each[k]
+    return out + float(np.log10(state.sum())) if state.sum() > 0 else float((runs + prior).max(axis=1).sum())
 
 
 def score_documents(
-    spark: SparkSession, docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text"
+    spark: SparkSession,
+    docs: DataFrame,
+    vocabulary_path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    class_col: str | None = None,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null texts count as empty: one end token. Repeated rows count and score
-    like others; ids of any type pass through, a null id is an empty text for
-    the fold. Without training texts every count is 0 and the lattice alone
-    scores. Tokens that fill a lattice's longest runs are summed in
-    logarithms, so long words lose nothing.
+    ``class_col`` states the class of training texts; it is not read for the
+    scores. Null texts count as empty: one end token. Repeated rows count and
+    score like others; ids of any type pass through, a null id is an empty
+    text for the fold. Without training texts every count is 0 and the
+    lattice alone scores.
     """
     held = (fold_of(id_col, FOLDS) == HELD_OUT).alias("held_out")
-    texts = located(docs.select("*") if {"_metadata"} & set(docs.columns) else docs).select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held, "_block"
-    )
-    counts = stage(count_words(texts.select("text", (~F.col("held_out")).alias("train"))), "lm-counts")
+    stated = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
+    texts = located(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held, stated.alias("class"), "_block")
+    train = texts.select("text", (~F.col("held_out")).alias("train"), "class")
+    names = class_names(train)
+    classes = len(names) + 1
+    counts = stage(count_words(train, names), "lm-counts")
+    cols = ["c", *(f"c{k}" for k in range(classes))]
     sums = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+        *(x for c in cols for x in (F.coalesce(F.sum(c), F.lit(0)), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)))
     ).first()
-    tokens, types, once, twice = (int(x) for x in sums)
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    lattice = spark.sparkContext.broadcast(train_lattice(counts, vocabulary_path))
+    stats = np.array([int(x) for x in sums]).reshape(-1, 4)
+    tokens, types = int(stats[0, 0]), int(stats[0, 1])
+    discount = [_discount(*x[2:]) for x in stats.tolist()]
+    # classes without training tokens are left out; without any, the first stands for all
+    live = [k for k in range(classes) if stats[k + 1, 0]] or [0]
+    shares = stats[1:, 0][live] / tokens if tokens else np.ones(1)
+    trained = train_lattices(counts, vocabulary_path, classes)
+    lattices = spark.sparkContext.broadcast([trained[k] for k in live])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
-            paths = lattice.value.log10(words)
-            paths[[i for i, w in enumerate(words) if not w]] = -np.inf  # the end is never spelled
+            paths = lattices.value[0].log10(words, lattices.value)
+            paths[:, [i for i, w in enumerate(words) if not w]] = -np.inf  # the end is never spelled
+            value = paths
             if tokens:
-                own = np.maximum(c - discount, 0) / tokens
-                p = np.log10(np.maximum(own, 1e-300))
-                q = np.log10(discount * types / tokens) + paths
-                value = np.where(own > 0, np.logaddexp(p * np.log(10), q * np.log(10)) / np.log(10), q)
-            else:
-                value = paths
-            value = np.where(np.isfinite(value), value, 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(value)], ["w", "c", "s"])
-
-    table = stage(counts.mapInArrow(scored, "w binary, c long, s double"), "lm-words")
+                p = 10 ** np.maximum(paths, -290.0) * np.isfinite(paths)
+                p = np.maximum(c - discount[0], 0) / tokens + discount[0] * types / tokens * p
+                far = np.log10(discount[0] * types / tokens) + paths  # of words too long for a double
+                with np.errstate(divide="ignore"):
+                    low = np.where(p > 1e-280, np.log10(p), far)
+                value = np.empty_like(paths)
+                for i, k in enumerate(live):
+                    n, v = stats[k + 1, 0], stats[k + 1, 1]
+                    d = discount[k + 1]
+                    own = np.maximum(b.column(k + 2).to_numpy() - d, 0) / n
+                    with np.errstate(divide="ignore"):
+                        value[i] = np.where(low[i] > -250, np.log10(own + d * v / n * 10 ** np.maximum(low[i], -290.0)), np.log10(d * v / n) + low[i])
+            value = np.where(np.isfinite(value), value, 0.0).astype("<f4")
+            packed = [row.tobytes() for row in np.ascontiguousarray(value.T)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["w", "c", "s"])
+
+    table = stage(counts.select("w", *cols).mapInArrow(scored, "w binary, c long, s binary"), "lm-words")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seen = None, set()
@@ -329,21 +409,24 @@ def score_documents(
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
         place = {w: i for i, w in enumerate(right.column("w").to_pylist())}
-        c, s = right.column("c").to_numpy(), right.column("s").to_numpy()
+        c = right.column("c").to_numpy()
+        s = np.frombuffer(b"".join(right.column("s").to_pylist()), "<f4").reshape(-1, len(live))
         base = np.log10((c + 1) / (tokens + types + 1))
         out = []
         for text in left.column("text"):
             words = words_of(text.as_py())
             words.append(b"")
             at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            out.append((len(words), int((c[at] > 0).sum()), tokens, float(base[at].sum()), float(s[at].sum())))
+            starts = np.arange(0, max(1, len(words) - 1), RUN)
+            runs = np.add.reduceat(s[at].astype(np.float64), starts, axis=0)
+            out.append((len(words), int((c[at] > 0).sum()), tokens, float(base[at].sum()), text_score(runs, shares)))
         cols = list(zip(*out)) if out else [()] * 5
         types_ = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
         return pa.table([left.column("doc_id"), left.column("held_out"), *(pa.array(x, t) for x, t in zip(cols, types_))], ["doc_id", "held_out", *names])
 
     return (
-        texts.withColumnRenamed("_block", "block")
+        texts.select("doc_id", "text", "held_out", F.col("_block").alias("block"))
         .groupBy("block")
         .cogroup(known.groupBy("block"))
         .applyInArrow(

@@ -53,7 +53,7 @@ def vocabulary_path() -> str:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marginal log-probabilities of all documents."""
-    return score_documents(spark, _table(spark, sf_dir, "documents"), vocabulary_path())
+    return score_documents(spark, _table(spark, sf_dir, "documents"), vocabulary_path(), class_col="lang")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
