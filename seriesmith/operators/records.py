@@ -124,7 +124,9 @@ def resolve(names: DataFrame, catalogue: DataFrame, name: str, title: str) -> Da
     """Catalogue rows a name stands for: name, title, matches.
 
     An equal folded title is a match; only names without one are looked for
-    inside titles. More than one match is an ambiguity for the caller.
+    inside titles, each against all of them: ``names`` is a list that someone
+    asks for, not a table that grows. More than one match is an ambiguity for
+    the caller.
     """
     asked = names.select(F.col(name).alias("name"), F.lower(name).alias("_k")).distinct()
     known = catalogue.select(F.col(title).alias("title"), F.lower(title).alias("_t"))

@@ -344,18 +344,18 @@ def merge_short(sections: Column, least: int = 8) -> Column:
     ``sections`` is an array sorted by start.
     """
     kind = "array<struct<start:bigint,bars:bigint>>"
+
     def step(acc: Column, s: Column) -> Column:
         tail = F.element_at(acc, -1)
         grown = F.struct(tail["start"].alias("start"), (tail["bars"] + s["bars"]).alias("bars"))
         return F.when((F.size(acc) > 0) & (tail["bars"] < least), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(s)))
 
-    folded = F.aggregate(sections, F.array().cast(kind), step)
     def finish(acc: Column) -> Column:
         a, b = F.element_at(acc, -2), F.element_at(acc, -1)
         joined = F.struct(a["start"].alias("start"), (a["bars"] + b["bars"]).alias("bars"))
         return F.when((F.size(acc) > 1) & (b["bars"] < least), F.concat(F.slice(acc, 1, F.size(acc) - 2), F.array(joined))).otherwise(acc)
 
-    return F.aggregate(sections, F.array().cast(kind), step, finish) if sections is not None else folded
+    return F.aggregate(sections, F.array().cast(kind), step, finish)
 
 
 def pack_batches(weights: Column, most: int, heavy_from: int, most_heavy: int) -> Column:
