@@ -81,26 +81,35 @@ def vocabulary(path: str) -> dict[bytes, float]:
     return {p: w / total for p, w in out.items()}
 
 
-class Lattice:
-    """Subword lattices of many words at a time, in numpy."""
+class Pieces:
+    """Hash tables of a vocabulary's pieces; sent as the pieces and built where they arrive."""
 
-    def __init__(self, pieces: list[bytes], logs: np.ndarray, stop: float):
-        self.logs, self.stop = np.append(logs, -np.inf), stop
-        codes = np.array([self._code(p) for p in pieces], np.uint64)
-        slot = self._slot(codes)
-        rank = np.zeros(len(pieces), np.int64)
+    def __init__(self, pieces: list[bytes]):
+        self.pieces, self.none = pieces, len(pieces)
+        codes = np.array([Lattice._code(p) for p in pieces], np.uint64)
+        slot = Lattice._slot(codes)
         order = np.argsort(slot, kind="stable")
-        same = np.append(False, slot[order][1:] == slot[order][:-1])
-        for i in range(1, len(order)):
-            rank[order[i]] = rank[order[i - 1]] + 1 if same[i] else 0
-        # pieces by hash; a slot's second, third, ... piece in further tables
+        first = np.searchsorted(slot[order], slot[order])
+        rank = np.empty(len(pieces), np.int64)
+        rank[order] = np.arange(len(pieces)) - first
+        # a slot's second, third, ... piece is in further tables
         self.tables = []
         for r in range(int(rank.max()) + 1):
-            code, index = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, len(pieces), np.int32)
+            code, index = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, self.none, np.int32)
             own = rank == r
             code[slot[own]], index[slot[own]] = codes[own], np.flatnonzero(own)
             self.tables.append((code, index))
-        self.none = len(pieces)
+
+    def __reduce__(self):
+        return Pieces, (self.pieces,)
+
+
+class Lattice:
+    """Subword lattices of many words at a time, in numpy."""
+
+    def __init__(self, pieces: Pieces | list[bytes], logs: np.ndarray, stop: float):
+        self.pieces = pieces if isinstance(pieces, Pieces) else Pieces(pieces)
+        self.logs, self.stop, self.none = np.append(logs, -np.inf), stop, self.pieces.none
 
     @staticmethod
     def _code(piece: bytes) -> int:
@@ -123,7 +132,7 @@ class Lattice:
             codes = raw[:, :span] + np.uint64(n * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
             slot = self._slot(codes)
             index = out[n - 1, :, :span]
-            for code, which in self.tables:
+            for code, which in self.pieces.tables:
                 hit = code[slot] == codes
                 index[hit] = which[slot[hit]]
             index[np.arange(span)[None, :] + n > sizes[:, None]] = self.none
@@ -270,7 +279,8 @@ def train_lattices(counts: DataFrame, vocabulary_path: str, classes: int) -> lis
     """The vocabulary's scores for each class, re-estimated ROUNDS times over its training word types."""
     start = vocabulary(vocabulary_path)
     pieces, weights = list(start), np.array(list(start.values()))
-    lattices = [Lattice(pieces, np.log(weights), 0.0)] * classes
+    tables = Pieces(pieces)
+    lattices = [Lattice(tables, np.log(weights), 0.0)] * classes
     cols = [f"c{k}" for k in range(classes)]
     known = counts.filter("c > 0").select("w", *cols)
     for _ in range(ROUNDS):
@@ -292,15 +302,17 @@ def train_lattices(counts: DataFrame, vocabulary_path: str, classes: int) -> lis
                     ["k", "g", "n"],
                 )
 
+        # at most a row a piece and class
         sums = known.mapInArrow(run, "k int, g int, n double").groupBy("k", "g").agg(F.sum("n").alias("n"))
         uses, types = np.tile(weights * PRIOR, (classes, 1)), np.ones(classes)
-        for r in sums.collect():  # at most a row a piece and class
+        for r in sums.collect():
             if r["g"] < 0:
                 types[r["k"]] += r["n"]
             else:
                 uses[r["k"], r["g"]] += r["n"]
         total = uses.sum(axis=1) + types
-        lattices = [Lattice(pieces, np.log(uses[k] / total[k]), float(np.log(types[k] / total[k]))) for k in range(classes)]
+        shared.unpersist()
+        lattices = [Lattice(tables, np.log(uses[k] / total[k]), float(np.log(types[k] / total[k]))) for k in range(classes)]
     return lattices
 
 
