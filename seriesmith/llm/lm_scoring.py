@@ -46,12 +46,12 @@ LONGEST = 8
 BLOCK_ROWS, WORDS_HELD = 4096, 400_000
 #: Classes told apart at most (the largest; others are one), words of a run,
 #: and the chance that a run keeps the class of the run before.
-MOST_CLASSES, RUN, STAY = 8, 32, 0.9
+MOST_CLASSES, RUN, STAY = 8, 64, 0.9
 #: Lattice positions computed at a time.
 POSITIONS = 1 << 17
 #: Weight of the vocabulary's own scores, in word types, when re-estimating,
 #: and how often that is done.
-PRIOR, ROUNDS = 100.0, 3
+PRIOR, ROUNDS = 100.0, 2
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
