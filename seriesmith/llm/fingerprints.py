@@ -1,7 +1,7 @@
 """Merkle-tree document fingerprints.
 
 A text is cut into paragraphs (lines and sentences, long ones into pieces of
-at most 64 code points); each paragraph hashes to a 32-bit leaf. Leaves whose
+at most 64 code points); each paragraph hashes to a 64-bit leaf. Leaves whose
 hash is divisible by 8 open a new section, so that an edit moves no section
 border elsewhere. A section hashes its leaves, the root hashes the sections.
 Equal roots mean equal texts; sections and leaves that differ locate an edit.
@@ -25,19 +25,16 @@ ID_CELLS, BUCKET_BYTES = 65536, 8 << 20
 
 
 def leaves(text: Column) -> Column:
-    """32-bit hashes of the paragraphs, in order."""
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)),
-        lambda p: F.xxhash64(p).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")),
-    )
+    """64-bit hashes of the paragraphs, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))
 
 
 def _tree(leaf: Column) -> Column:
-    """The leaves as 8 hex digits each, ``|`` before each section's first."""
+    """The leaves as 16 hex digits each, ``|`` before each section's first."""
     return F.array_join(
         F.transform(
             leaf,
-            lambda x: F.concat(F.when(x % SECTION == 0, F.lit("|")).otherwise(F.lit("")), F.lpad(F.lower(F.hex(x)), 8, "0")),
+            lambda x: F.concat(F.when(x % SECTION == 0, F.lit("|")).otherwise(F.lit("")), F.lpad(F.lower(F.hex(x)), 16, "0")),
         ),
         "",
     )
@@ -59,9 +56,9 @@ def root(print_: Column) -> Column:
 
 
 def print_leaves(print_: Column) -> Column:
-    """Leaves (8 hex digits each) of a fingerprint, in order."""
+    """Leaves (16 hex digits each) of a fingerprint, in order."""
     flat = F.replace(F.substring(print_, 34, 1 << 30), F.lit("|"), F.lit(""))
-    return F.filter(F.split(F.regexp_replace(flat, "(.{8})", "$1 "), " "), lambda x: x != "")
+    return F.filter(F.split(F.regexp_replace(flat, "(.{16})", "$1 "), " "), lambda x: x != "")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -124,3 +124,12 @@ def test_a_branch_locates_an_edit(spark):
     df = spark.createDataFrame([("".join(lines), "".join(other))], "a string, b string").select(fingerprint(F.col("a")).alias("a"), fingerprint(F.col("b")).alias("b"))
     r = df.select(differing_leaves(print_leaves(F.col("a")), print_leaves(F.col("b"))).alias("d"), (root(F.col("a")) == root(F.col("b"))).alias("same")).first()
     assert r["d"] == [17] and not r["same"]
+
+
+def test_texts_of_equal_low_hash_bits_differ(spark):
+    a, b = "Order number 37310 is ready.", "Order number 67461 is ready."
+    lines = [f"Sentence number {i} stands here.\n" for i in range(20)]
+    rows = [(a, b), ("".join([*lines, a]), "".join([*lines, b]))]
+    df = spark.createDataFrame(rows, "a string, b string").select(fingerprint(F.col("a")).alias("a"), fingerprint(F.col("b")).alias("b"))
+    got = df.select((root(F.col("a")) == root(F.col("b"))).alias("same"), F.size(differing_leaves(print_leaves(F.col("a")), print_leaves(F.col("b")))).alias("n")).collect()
+    assert [(r["same"], r["n"]) for r in got] == [(False, 1), (False, 1)]
