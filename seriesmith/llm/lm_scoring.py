@@ -40,8 +40,6 @@ from ._shared import stage
 from .toxicity import fold_of
 
 FOLDS, HELD_OUT = 7, 2
-#: Longest piece of the lattice, in bytes.
-LONGEST = 8
 #: Rows of a file scored together, words counted before a task sends them on.
 BLOCK_ROWS, WORDS_HELD = 4096, 400_000
 #: Classes told apart at most (the largest; others are one), words of a run,
@@ -54,7 +52,7 @@ POSITIONS = 1 << 17
 PRIOR, ROUNDS = 100.0, 2
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+_MUL, _ROLL = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
 SLOT_BITS = 18
 
 
@@ -64,7 +62,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def vocabulary(path: str) -> dict[bytes, float]:
-    """Pieces (bytes, at most LONGEST) and starting weights of a vocabulary file.
+    """Pieces (bytes) and starting weights of a vocabulary file.
 
     Pieces lose their word-start mark and A-Z are lower-cased; a piece's
     weight falls with its rank among the file's scores, like Zipf's. All
@@ -75,7 +73,7 @@ def vocabulary(path: str) -> dict[bytes, float]:
     out = {bytes([b]): 1e-6 for b in range(256)}
     for rank, (_, i) in enumerate(found):
         piece = model.id_to_piece(i).replace("▁", "").encode().translate(_LOWER)
-        if piece and len(piece) <= LONGEST and not piece.split() == []:
+        if piece and not piece.split() == []:
             out[piece] = out.get(piece, 0.0) + 1 / (rank + 10)
     total = sum(out.values())
     return {p: w / total for p, w in out.items()}
@@ -86,7 +84,10 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes]):
         self.pieces, self.none = pieces, len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         codes = np.array([Lattice._code(p) for p in pieces], np.uint64)
+        if len(np.unique(codes)) < len(set(pieces)):
+            raise ValueError("two pieces have one code")
         slot = Lattice._slot(codes)
         order = np.argsort(slot, kind="stable")
         first = np.searchsorted(slot[order], slot[order])
@@ -113,8 +114,11 @@ class Lattice:
 
     @staticmethod
     def _code(piece: bytes) -> int:
-        """The piece itself: its bytes and, above 7 of them, its last byte mixed in."""
-        return int.from_bytes(piece, "big") + (len(piece) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) & (1 << 64) - 1
+        """64-bit rolling hash of a piece's bytes, of any length."""
+        code = 0
+        for b in piece:
+            code = (code * _ROLL + b + 1) & (1 << 64) - 1
+        return code
 
     @staticmethod
     def _slot(codes: np.ndarray) -> np.ndarray:
@@ -124,12 +128,13 @@ class Lattice:
     def arcs(self, grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """[length - 1, word, start] piece of each arc, or ``none``."""
         count, width = grid.shape
-        out = np.full((LONGEST, count, width), self.none, np.int32)
+        longest = min(self.pieces.longest, width)
+        out = np.full((longest, count, width), self.none, np.int32)
         raw = np.zeros((count, width), np.uint64)
-        for n in range(1, min(LONGEST, width) + 1):
+        for n in range(1, longest + 1):
             span = width - n + 1
-            raw[:, :span] = (raw[:, :span] << np.uint64(8)) | grid[:, n - 1 :]
-            codes = raw[:, :span] + np.uint64(n * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
+            codes = raw[:, :span] * np.uint64(_ROLL) + grid[:, n - 1 :] + np.uint64(1)
+            raw[:, :span] = codes
             slot = self._slot(codes)
             index = out[n - 1, :, :span]
             for code, which in self.pieces.tables:
@@ -140,13 +145,13 @@ class Lattice:
 
     def forward(self, arcs: np.ndarray) -> np.ndarray:
         """[word, position] log-probability of all paths up to each position."""
-        _, count, width = arcs.shape
+        longest, count, width = arcs.shape
         logs = self.logs[arcs]
         alpha = np.full((count, width + 1), -np.inf)
         alpha[:, 0] = 0.0
         with np.errstate(divide="ignore", invalid="ignore"):
             for j in range(1, width + 1):
-                m = min(LONGEST, j)
+                m = min(longest, j)
                 terms = np.stack([alpha[:, j - n] + logs[n - 1, :, j - n] for n in range(1, m + 1)])
                 top = terms.max(axis=0)
                 safe = np.where(np.isfinite(top), top, 0.0)
@@ -155,13 +160,13 @@ class Lattice:
 
     def backward(self, arcs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """[word, position] log-probability of all paths from each position on."""
-        _, count, width = arcs.shape
+        longest, count, width = arcs.shape
         logs = self.logs[arcs]
-        beta = np.full((count, width + LONGEST + 1), -np.inf)
+        beta = np.full((count, width + longest + 1), -np.inf)
         with np.errstate(divide="ignore", invalid="ignore"):
             for j in range(width, -1, -1):
                 if j < width:
-                    terms = np.stack([beta[:, j + n] + logs[n - 1, :, j] for n in range(1, LONGEST + 1)])
+                    terms = np.stack([beta[:, j + n] + logs[n - 1, :, j] for n in range(1, longest + 1)])
                     top = terms.max(axis=0)
                     safe = np.where(np.isfinite(top), top, 0.0)
                     beta[:, j] = safe + np.log(np.exp(terms - safe).sum(axis=0))
@@ -175,8 +180,10 @@ class Lattice:
         order = np.argsort(sizes, kind="stable")
         at = 0
         while at < len(order):
-            stop = at + max(1, POSITIONS // max(1, int(sizes[order[at]])))
-            while stop > at + 1 and (min(stop, len(order)) - at) * int(sizes[order[min(stop, len(order)) - 1]]) > 2 * POSITIONS:
+            # long words have more arcs at a position
+            room = POSITIONS * 8 // min(64, max(8, int(sizes[order[at]])))
+            stop = at + max(1, room // max(1, int(sizes[order[at]])))
+            while stop > at + 1 and (min(stop, len(order)) - at) * int(sizes[order[min(stop, len(order)) - 1]]) > 2 * room:
                 stop = (at + min(stop, len(order)) + 1) // 2
             own = order[at : min(stop, len(order))]
             width = max(1, int(sizes[own[-1]]))
@@ -204,7 +211,7 @@ class Lattice:
             arcs = self.arcs(grid, sizes)
             alpha, beta = self.forward(arcs), self.backward(arcs, sizes)
             total = alpha[np.arange(len(own)), sizes]
-            for n in range(1, LONGEST + 1):
+            for n in range(1, arcs.shape[0] + 1):
                 span = arcs.shape[2] - n + 1
                 if span < 1:
                     break
