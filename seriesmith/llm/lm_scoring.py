@@ -8,52 +8,58 @@ unigram scores, and rounds of expected counts over the lattices of all
 training word types re-estimate them, for each class of training texts
 (their language, where they state one).
 
-Words of the training texts are pieces of the lattice as a whole too. Their
-counts are discounted, and what a discount frees is spread by the next level:
+Longer arcs span whole words and whole runs of words (up to a word that ends
+a sentence, RUN words at most) that the training texts have. Their counts are
+discounted, and what a discount frees is spread by the level below:
 
+    P(run | class)   = max(c_r - D_r, 0) / N_r + D_r V_r / N_r * prod P(word | class)
     P(word | class)  = max(c_k - D_k, 0) / N_k + D_k V_k / N_k * P'(word)
     P'(word)         = max(c - D, 0) / N + D V / N * P(subword paths | class).
 
-A text is drawn run by run (RUN words each, the last with the end token): the
-first run's class by its share of the training tokens, a later one's is the
-same with STAY and drawn anew otherwise. The score is log10 of the sum over
-all classes of runs, again by forward recursion; it needs no class.
+A run's count c_r leaves out the document that is scored, so that a training
+text does not vouch for itself. A run's class is that of the run before with
+STAY and drawn anew by the training tokens' shares otherwise. The score is
+log10 of the sum over all classes of runs and all paths, by forward recursion.
 
-Word counts are aggregated by word. Texts are scored in blocks: the distinct
-words of a block are joined with the counts, and the block's texts meet its
-words in one task, so no table of all words is ever sent to a task.
+Word counts are aggregated by word, run counts by a 64-bit hash. Texts are
+scored in blocks of bounded bytes: the distinct words and runs of a block are
+joined with the counts, and the block's texts meet them in one task, so no
+table of all words is ever sent to a task.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import stage
 from .toxicity import fold_of
 
 FOLDS, HELD_OUT = 7, 2
-#: Rows of a file scored together, words counted before a task sends them on.
-BLOCK_ROWS, WORDS_HELD = 4096, 400_000
-#: Classes told apart at most (the largest; others are one), words of a run,
-#: and the chance that a run keeps the class of the run before.
-MOST_CLASSES, RUN, STAY = 8, 32, 0.9
+#: Bytes of text scored together at most (a longer text is alone), and words
+#: and runs held before a task sends them on.
+BLOCK_BYTES, WORDS_HELD = 64 << 20, 400_000
+#: Words summed up together.
+TOKENS_HELD = 200_000
+#: Words of a run at most, and the chance that a run keeps the class before.
+RUN, STAY = 32, 0.9
+#: Bytes of a word after which a run ends.
+ENDS = b".!?"
 #: Lattice positions computed at a time.
-POSITIONS = 1 << 17
+POSITIONS = 1 << 16
 #: Weight of the vocabulary's own scores, in word types, when re-estimating,
 #: and how often that is done.
 PRIOR, ROUNDS = 100.0, 3
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_MUL, _ROLL = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
-SLOT_BITS = 18
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -61,6 +67,23 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
+def run_starts(words: list[bytes]) -> list[int]:
+    """Where each run of words begins; a text without words has one empty run."""
+    out, since = [0], 0
+    for i, w in enumerate(words, 1):
+        since += 1
+        if w[-1] in ENDS or since == RUN:
+            out.append(i)
+            since = 0
+    return out[:-1] if len(out) > 1 and out[-1] == len(words) else out
+
+
+def run_keys(words: list[bytes], starts: list[int]) -> list[int]:
+    """Signed 64-bit hash of each run."""
+    digest = xxhash.xxh64_intdigest
+    return [(h := digest(b" ".join(words[a:b]))) - (h >> 63 << 64) for a, b in zip(starts, [*starts[1:], len(words)])]
+
+
 def vocabulary(path: str) -> dict[bytes, float]:
     """Pieces (bytes) and starting weights of a vocabulary file.
 
@@ -79,158 +102,172 @@ def vocabulary(path: str) -> dict[bytes, float]:
     return {p: w / total for p, w in out.items()}
 
 
-class Pieces:
-    """Hash tables of a vocabulary's pieces; sent as the pieces and built where they arrive."""
-
-    def __init__(self, pieces: list[bytes]):
-        self.pieces, self.none = pieces, len(pieces)
-        self.longest = max(map(len, pieces), default=1)
-        codes = np.array([Lattice._code(p) for p in pieces], np.uint64)
-        if len(np.unique(codes)) < len(set(pieces)):
-            raise ValueError("two pieces have one code")
-        slot = Lattice._slot(codes)
-        order = np.argsort(slot, kind="stable")
-        first = np.searchsorted(slot[order], slot[order])
-        rank = np.empty(len(pieces), np.int64)
-        rank[order] = np.arange(len(pieces)) - first
-        # a slot's second, third, ... piece is in further tables
-        self.tables = []
-        for r in range(int(rank.max()) + 1):
-            code, index = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, self.none, np.int32)
-            own = rank == r
-            code[slot[own]], index[slot[own]] = codes[own], np.flatnonzero(own)
-            self.tables.append((code, index))
-
-    def __reduce__(self):
-        return Pieces, (self.pieces,)
+def compiled(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(base, owner, to, piece) of the pieces' trie.
+
+    Node n's child by byte b is ``to[base[n] + b]`` if ``owner`` is n there;
+    ``piece`` is the piece that ends at a node, or -1. Plain arrays, so that a
+    broadcast of them needs no class where it arrives.
+    """
+    children: list[dict[int, int]] = [{}]
+    ends = [-1]
+    for i, piece in enumerate(pieces):
+        node = 0
+        for b in piece:
+            after = children[node].get(b)
+            if after is None:
+                after = children[node][b] = len(children)
+                children.append({})
+                ends.append(-1)
+            node = after
+        ends[node] = i
+    room = len(children) * 4 + 4096
+    base, owner, to = np.zeros(len(children), np.int32), np.full(room, -1, np.int32), np.zeros(room, np.int32)
+    used, free, recent = bytearray(room), 256, 256
+    # nodes of many children go behind each other, those of one fill the gaps
+    for node in sorted(range(len(children)), key=lambda n: -len(children[n])):
+        own = sorted(children[node])
+        if not own:
+            break
+        if len(own) > 1:
+            at = max(256, recent - 512) - own[0]
+            while any(used[at + b] for b in own):
+                at += 1
+            recent = max(recent, at + own[0])
+        else:
+            free = used.index(0, free)
+            at = free - own[0]
+        base[node] = at
+        for b in own:
+            owner[at + b], to[at + b], used[at + b] = node, children[node][b], 1
+    return base, owner, to, np.array(ends, np.int32)
 
 
 class Lattice:
-    """Subword lattices of many words at a time, in numpy."""
+    """Subword lattices of many words at a time, in numpy.
 
-    def __init__(self, pieces: Pieces | list[bytes], logs: np.ndarray, stop: float):
-        self.pieces = pieces if isinstance(pieces, Pieces) else Pieces(pieces)
-        self.logs, self.stop, self.none = np.append(logs, -np.inf), stop, self.pieces.none
+    ``logs`` holds the pieces' scores by class, ``stops`` the stop's.
+    """
 
-    @staticmethod
-    def _code(piece: bytes) -> int:
-        """64-bit rolling hash of a piece's bytes, of any length."""
-        code = 0
-        for b in piece:
-            code = (code * _ROLL + b + 1) & (1 << 64) - 1
-        return code
+    def __init__(self, trie: tuple[np.ndarray, ...], logs: np.ndarray, stops: np.ndarray):
+        self.base, self.owner, self.to, self.piece = trie
+        self.logs, self.stops = np.atleast_2d(logs), np.atleast_1d(stops)
 
-    @staticmethod
-    def _slot(codes: np.ndarray) -> np.ndarray:
-        mixed = (codes ^ (codes >> np.uint64(29))) * _MUL
-        return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-    def arcs(self, grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """[length - 1, word, start] piece of each arc, or ``none``."""
-        count, width = grid.shape
-        longest = min(self.pieces.longest, width)
-        out = np.full((longest, count, width), self.none, np.int32)
-        raw = np.zeros((count, width), np.uint64)
-        for n in range(1, longest + 1):
-            span = width - n + 1
-            codes = raw[:, :span] * np.uint64(_ROLL) + grid[:, n - 1 :] + np.uint64(1)
-            raw[:, :span] = codes
-            slot = self._slot(codes)
-            index = out[n - 1, :, :span]
-            for code, which in self.pieces.tables:
-                hit = code[slot] == codes
-                index[hit] = which[slot[hit]]
-            index[np.arange(span)[None, :] + n > sizes[:, None]] = self.none
+    def arcs(self, grid: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(start, piece) of the arcs of 1, 2, ... bytes.
+
+        ``grid`` holds byte j of word w at [j, w]; a start is a flat index.
+        """
+        width, count = grid.shape
+        flat, out = grid.ravel(), []
+        left = np.maximum(sizes[None, :] - np.arange(width)[:, None], 0).ravel()
+        at = np.flatnonzero(left)
+        node = np.zeros(len(at), np.int32)
+        for n in range(width):
+            if n:
+                some = left[at] > n
+                at, node = at[some], node[some]
+            slot = self.base[node] + flat[at + n * count]
+            some = self.owner[slot] == node
+            at, node = at[some], self.to[slot[some]]
+            if not len(at):
+                break
+            index = self.piece[node]
+            ends = index >= 0
+            out.append((at[ends], index[ends]))
         return out
 
-    def forward(self, arcs: np.ndarray) -> np.ndarray:
-        """[word, position] log-probability of all paths up to each position."""
-        longest, count, width = arcs.shape
-        logs = self.logs[arcs]
-        alpha = np.full((count, width + 1), -np.inf)
-        alpha[:, 0] = 0.0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for j in range(1, width + 1):
-                m = min(longest, j)
-                terms = np.stack([alpha[:, j - n] + logs[n - 1, :, j - n] for n in range(1, m + 1)])
-                top = terms.max(axis=0)
-                safe = np.where(np.isfinite(top), top, 0.0)
-                alpha[:, j] = safe + np.log(np.exp(terms - safe).sum(axis=0))
+    def dense(self, arcs: list[tuple[np.ndarray, np.ndarray]], shape: tuple[int, int]) -> list[np.ndarray]:
+        """[start, class, word] log scores of the arcs of each length."""
+        out = []
+        for at, index in arcs:
+            logs = np.full((shape[0], len(self.logs), shape[1]), -np.inf)
+            j, w = np.divmod(at, shape[1])
+            logs[j, :, w] = self.logs[:, index].T
+            out.append(logs)
+        return out
+
+    @staticmethod
+    def _sum(terms: list[np.ndarray]) -> np.ndarray:
+        if len(terms) == 1:
+            return terms[0]
+        top = np.maximum(np.maximum.reduce(terms), -1e300)
+        total = np.exp(terms[0] - top)
+        for t in terms[1:]:
+            total += np.exp(t - top)
+        with np.errstate(divide="ignore"):
+            return top + np.log(total)
+
+    def forward(self, dense: list[np.ndarray]) -> np.ndarray:
+        """[position, class, word] log-probability of all paths up to each position."""
+        width, classes, count = dense[0].shape
+        alpha = np.zeros((width + 1, classes, count))
+        for j in range(1, width + 1):
+            alpha[j] = self._sum([alpha[j - n] + dense[n - 1][j - n] for n in range(1, min(len(dense), j) + 1)])
         return alpha
 
-    def backward(self, arcs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """[word, position] log-probability of all paths from each position on."""
-        longest, count, width = arcs.shape
-        logs = self.logs[arcs]
-        beta = np.full((count, width + longest + 1), -np.inf)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for j in range(width, -1, -1):
-                if j < width:
-                    terms = np.stack([beta[:, j + n] + logs[n - 1, :, j] for n in range(1, longest + 1)])
-                    top = terms.max(axis=0)
-                    safe = np.where(np.isfinite(top), top, 0.0)
-                    beta[:, j] = safe + np.log(np.exp(terms - safe).sum(axis=0))
-                beta[sizes == j, j] = 0.0
+    def backward(self, dense: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        """[position, class, word] log-probability of all paths from each position on."""
+        width, classes, count = dense[0].shape
+        beta = np.full((width + 1, classes, count), -np.inf)
+        for j in range(width, -1, -1):
+            if j < width:
+                beta[j] = self._sum([beta[j + n] + dense[n - 1][j] for n in range(1, min(len(dense), width - j) + 1)])
+            beta[j][:, sizes == j] = 0.0
         return beta
 
-    @staticmethod
-    def grids(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(indexes, [word, position] bytes, lengths) of words of like lengths."""
+    def grids(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(indexes, [position, word] bytes, lengths) of words of like lengths."""
         sizes = np.array([len(w) for w in words], np.int64)
         order = np.argsort(sizes, kind="stable")
-        at = 0
+        room, at = POSITIONS // len(self.logs), 0
         while at < len(order):
-            # long words have more arcs at a position
-            room = POSITIONS * 8 // min(64, max(8, int(sizes[order[at]])))
-            stop = at + max(1, room // max(1, int(sizes[order[at]])))
-            while stop > at + 1 and (min(stop, len(order)) - at) * int(sizes[order[min(stop, len(order)) - 1]]) > 2 * room:
-                stop = (at + min(stop, len(order)) + 1) // 2
-            own = order[at : min(stop, len(order))]
+            least = max(1, int(sizes[order[at]]))
+            stop = min(at + max(1, room // least), int(np.searchsorted(sizes[order], least + least // 4, "right")))
+            own = order[at:stop]
             width = max(1, int(sizes[own[-1]]))
             flat = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in own), np.uint8)
-            yield own, flat.reshape(len(own), width), sizes[own]
-            at = min(stop, len(order))
-
-    def log10(self, words: list[bytes], others: list[Lattice] | None = None) -> np.ndarray:
-        """log10 of the words' marginal probabilities.
+            yield own, np.ascontiguousarray(flat.reshape(len(own), width).T), sizes[own]
+            at = stop
 
-        With ``others``, a row for each of these lattices of the same pieces.
-        """
-        each = others or [self]
-        out = np.zeros((len(each), len(words)))
+    def log10(self, words: list[bytes]) -> np.ndarray:
+        """[class, word] log10 of the words' marginal probabilities."""
+        out = np.zeros((len(self.logs), len(words)))
         for own, grid, sizes in self.grids(words):
             arcs = self.arcs(grid, sizes)
-            for k, lattice in enumerate(each):
-                out[k, own] = (lattice.forward(arcs)[np.arange(len(own)), sizes] + lattice.stop) / np.log(10)
-        return out if others else out[0]
+            alpha = self.forward(self.dense(arcs, grid.shape)) if arcs else np.zeros((1, len(self.logs), len(own)))
+            out[:, own] = (alpha[sizes, :, np.arange(len(own))].T + self.stops[:, None]) / np.log(10)
+        return out
 
     def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected uses of each piece over all paths of all words."""
-        uses = np.zeros(self.none + 1)
+        """Expected uses of each piece over all paths of all words, under the first class."""
+        uses = np.zeros(self.logs.shape[1])
         for own, grid, sizes in self.grids(words):
-            arcs = self.arcs(grid, sizes)
-            alpha, beta = self.forward(arcs), self.backward(arcs, sizes)
-            total = alpha[np.arange(len(own)), sizes]
-            for n in range(1, arcs.shape[0] + 1):
-                span = arcs.shape[2] - n + 1
-                if span < 1:
-                    break
-                index = arcs[n - 1, :, :span]
-                word, at = np.nonzero(index != self.none)
-                piece = index[word, at]
-                weight = np.exp(alpha[word, at] + self.logs[piece] + beta[word, at + n] - total[word])
-                uses += np.bincount(piece, weight, minlength=self.none + 1)
-        return uses[:-1]
-
-
-def located(df: DataFrame) -> DataFrame:
-    """``df`` with _block: the file and the run of BLOCK_ROWS rows a row lies in.
-
-    Both readings of the table give a row the same block, however its files
-    are split. A table that isn't read from files is written first.
+            arcs, count = self.arcs(grid, sizes), len(own)
+            if not arcs:
+                continue
+            dense = self.dense(arcs, grid.shape)
+            alpha, beta = self.forward(dense), self.backward(dense, sizes)
+            # paths through an arc: before it, itself, after it
+            total = np.tile(alpha[sizes, 0, np.arange(count)], len(grid))
+            alpha, beta = alpha.ravel(), beta.ravel()
+            for n, (at, index) in enumerate(arcs, 1):
+                uses += np.bincount(index, np.exp(alpha[at] + self.logs[0, index] + beta[at + n * count] - total[at]), minlength=len(uses))
+        return uses
+
+
+def located(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with _block, a number of rows that are scored together.
+
+    Rows are told apart by the power of two that their bytes of text stay
+    below, and as many neighbours of a file as BLOCK_BYTES has room for are a
+    block. Every reading of the table gives a row the same block, however its
+    files are split. A table that isn't read from files is written first.
     """
     def with_block(d: DataFrame) -> DataFrame:
-        return d.select("*", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("_block"))
+        power = F.ceil(F.log2(F.coalesce(F.octet_length(text), F.lit(0)) + 256)).cast("int")
+        run = F.floor(F.col("_metadata.row_index") / F.greatest(F.lit(BLOCK_BYTES) / F.pow(F.lit(2.0), power), F.lit(1.0)))
+        return d.select("*", F.xxhash64("_metadata.file_path", power, run).alias("_block"))
 
     try:
         return with_block(df)
@@ -239,16 +276,16 @@ def located(df: DataFrame) -> DataFrame:
 
 
 def class_names(texts: DataFrame) -> list[str]:
-    """The most frequent classes of ``texts(class, train)``'s training rows."""
-    ranked = texts.filter("train and class is not null").groupBy("class").count()
-    return sorted(r["class"] for r in ranked.orderBy(F.desc("count"), "class").limit(MOST_CLASSES - 1).collect())
+    """All classes of ``texts(class, train)``'s training rows."""
+    return sorted(r["class"] for r in texts.filter("train and class is not null").select("class").distinct().collect())
 
 
 def count_words(texts: DataFrame, names: list[str]) -> DataFrame:
     """(w, c, c0, c1, ...): uses of every word of ``texts(text, train, class)`` in training texts.
 
-    c0 counts texts of no named class, c1 those of the first and so on. Words
-    of other texts only have counts of 0. The empty word is the end token.
+    c0 counts texts of no class, c1 those of the first and so on. Words of
+    other texts only have counts of 0. The empty word is the end token, and a
+    blank counts the runs.
     """
     place = {n: i + 1 for i, n in enumerate(names)}
 
@@ -269,6 +306,7 @@ def count_words(texts: DataFrame, names: list[str]) -> DataFrame:
                 words.append(b"")
                 own = seen[place.get(name, 0)] if train else seen[0]
                 if train:
+                    own[b" "] += len(run_starts(words[:-1])) if len(words) > 1 else 0
                     own.update(words)
                 else:
                     for w in set(words):
@@ -282,24 +320,58 @@ def count_words(texts: DataFrame, names: list[str]) -> DataFrame:
     return texts.select("text", "train", "class").mapInArrow(run, "w binary, k int, c long").groupBy("w").agg(F.sum("c").alias("c"), *each)
 
 
-def train_lattices(counts: DataFrame, vocabulary_path: str, classes: int) -> list[Lattice]:
-    """The vocabulary's scores for each class, re-estimated ROUNDS times over its training word types."""
-    start = vocabulary(vocabulary_path)
-    pieces, weights = list(start), np.array(list(start.values()))
-    tables = Pieces(pieces)
-    lattices = [Lattice(tables, np.log(weights), 0.0)] * classes
-    cols = [f"c{k}" for k in range(classes)]
-    known = counts.filter("c > 0").select("w", *cols)
+def count_runs(texts: DataFrame) -> DataFrame:
+    """(block, r, own, c): runs of words, their uses in the block's and in all training texts.
+
+    ``texts`` has text, train and _block. Runs used once in all tell no other
+    text anything and are left out.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, dict[int, list[int]]] = defaultdict(dict)
+        held = 0
+
+        def sent() -> pa.RecordBatch:
+            rows = [(block, r, *n) for block, own in seen.items() for r, n in own.items()]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["block", "r", "n", "c"])
+
+        for b in batches:
+            for text, train, block in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                words, own = words_of(text.as_py()), seen[block]
+                held -= len(own)
+                for r in run_keys(words, run_starts(words)) if words else ():
+                    n = own.setdefault(r, [0, 0])
+                    n[0] += 1
+                    n[1] += train
+                held += len(own)
+                if held > WORDS_HELD:
+                    yield sent()
+                    held = 0
+        if held:
+            yield sent()
+
+    # one exchange by r serves the sums and the join with them
+    rows = texts.select("text", "train", "_block").mapInArrow(run, "block long, r long, n long, c long").repartition("r")
+    sums = rows.groupBy("r").agg(F.sum("n").alias("_n"), F.sum("c").alias("_c"))
+    return rows.join(sums, "r").filter("_n > 1 and _c > 0").select("block", "r", F.col("c").alias("own"), F.col("_c").alias("c"))
+
+
+def train_lattices(counts: DataFrame, trie: tuple[np.ndarray, ...], weights: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(logs, stops) of each class: the vocabulary's scores, re-estimated ROUNDS times over its training word types."""
+    spark, size = counts.sparkSession, len(weights)
+    logs, stops = np.tile(np.log(weights), (classes, 1)), np.zeros(classes)
+    known = counts.filter("c > 0 and w <> binary('')").select("w", *(f"c{k}" for k in range(classes)))
     for _ in range(ROUNDS):
-        shared = counts.sparkSession.sparkContext.broadcast(lattices)
+        shared = spark.sparkContext.broadcast((trie, logs))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            uses, types = np.zeros((classes, len(pieces))), np.zeros(classes)
+            trie, logs = shared.value
+            uses, types = np.zeros((classes, size)), np.zeros(classes)
             for b in batches:
                 words = b.column(0).to_pylist()
                 for k in range(classes):
-                    own = [w for w, c in zip(words, b.column(k + 1).to_pylist()) if c and w]
-                    uses[k] += shared.value[k].expected(own)
+                    own = [words[i] for i in np.flatnonzero(b.column(k + 1).to_numpy())]
+                    uses[k] += Lattice(trie, logs[k], 0.0).expected(own)
                     types[k] += len(own)
             if types.any():
                 k, g = np.nonzero(uses)
@@ -319,27 +391,73 @@ def train_lattices(counts: DataFrame, vocabulary_path: str, classes: int) -> lis
                 uses[r["k"], r["g"]] += r["n"]
         total = uses.sum(axis=1) + types
         shared.unpersist()
-        lattices = [Lattice(tables, np.log(uses[k] / total[k]), float(np.log(types[k] / total[k]))) for k in range(classes)]
-    return lattices
+        logs, stops = np.log(uses / total[:, None]), np.log(types / total)
+    return logs, stops
 
 
-def _discount(once: int, twice: int) -> float:
+def discount(once: int, twice: int) -> float:
+    """Absolute discount by the numbers of types seen once and twice."""
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
-def text_score(runs: np.ndarray, shares: np.ndarray) -> float:
-    """log10 of the sum over all classes of runs ([run, class] log10 probabilities)."""
-    with np.errstate(divide="ignore"):
-        prior = np.log10(shares)
+def text_scores(runs: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """log10 of each text's sum over all classes of its runs.
+
+    ``runs`` are the texts' [run, class] log10 probabilities, one text after
+    the other, ``counts`` their numbers (1 at least).
+    """
     top = runs.max(axis=1)
     each = 10 ** np.maximum(runs - top[:, None], -300)
-    state = shares * each[0]
-    out = float(top[0])
-    for k in range(1, len(runs)):
-        total = state.sum()
-        out += float(np.log10(total)) + float(top[k])
-        state = (STAY * state / total + (1 - STAY) * shares) * each[k]
-    return out + float(np.log10(state.sum())) if state.sum() > 0 else float((runs + prior).max(axis=1).sum())
+    first = np.cumsum(counts) - counts
+    out = np.add.reduceat(top, first)
+    order = np.argsort(-counts, kind="stable")
+    state = np.tile(shares, (len(counts), 1))  # by text, longest first: forward sums, scaled to one
+    for k in range(int(counts.max())):
+        live = int(np.searchsorted(-counts[order], -k, "left"))
+        texts, before = order[:live], state[:live]
+        after = (STAY * before + (1 - STAY) * shares if k else before) * each[first[texts] + k]
+        total = after.sum(axis=1)
+        out[texts] += np.log10(total)
+        state[:live] = after / total[:, None]
+    return out
+
+
+def word_scores(paths: np.ndarray, c: np.ndarray, by_class: np.ndarray, stats: np.ndarray) -> np.ndarray:
+    """[class, word] log10 probabilities from paths, counts and counts by class.
+
+    ``stats`` has a row for all training texts and one for each class: tokens,
+    types, types seen once and twice. The paths of the end token are -inf.
+    """
+    tokens, types = stats[0, :2]
+    if not tokens:
+        return paths
+    free = discount(*stats[0, 2:]) * types / tokens
+    p = np.maximum(c - discount(*stats[0, 2:]), 0) / tokens + free * 10 ** np.maximum(paths, -290.0) * np.isfinite(paths)
+    with np.errstate(divide="ignore"):
+        # words too long for a double have the paths alone
+        low = np.where(p > 1e-280, np.log10(p), np.log10(free) + paths)
+        value = np.empty_like(paths)
+        for i, (n, v, *few) in enumerate(stats[1:]):
+            d = discount(*few)
+            own = np.maximum(by_class[i] - d, 0) / n
+            value[i] = np.where(low[i] > -250, np.log10(own + d * v / n * 10 ** np.maximum(low[i], -290.0)), np.log10(d * v / n) + low[i])
+    return value
+
+
+def run_scores(words: np.ndarray, others: np.ndarray, stats: np.ndarray) -> np.ndarray:
+    """[run, class] log10 probabilities from the words' and the runs' uses in other texts.
+
+    ``stats``: uses, types, types used once and twice in the training texts.
+    """
+    uses, types, *few = stats
+    if not uses:
+        return words
+    d = discount(*few)
+    free = words + np.log10(d * types / uses)
+    with np.errstate(divide="ignore"):
+        arc = np.log10(np.maximum(others - d, 0) / uses)[:, None]
+    top = np.maximum(free, arc)
+    return top + np.log10(10 ** (free - top) + 10 ** (arc - top))
 
 
 def score_documents(
@@ -360,43 +478,33 @@ def score_documents(
     """
     held = (fold_of(id_col, FOLDS) == HELD_OUT).alias("held_out")
     stated = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
-    texts = located(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held, stated.alias("class"), "_block")
-    train = texts.select("text", (~F.col("held_out")).alias("train"), "class")
+    texts = located(docs, F.col(text_col)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held, stated.alias("class"), "_block")
+    train = texts.select("text", (~F.col("held_out")).alias("train"), "class", "_block")
     names = class_names(train)
     classes = len(names) + 1
-    counts = stage(count_words(train, names), "lm-counts")
+    every = stage(count_words(train, names), "lm-counts")
+    counts = every.filter("w <> binary(' ')")
     cols = ["c", *(f"c{k}" for k in range(classes))]
-    sums = counts.agg(
-        *(x for c in cols for x in (F.coalesce(F.sum(c), F.lit(0)), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)))
-    ).first()
-    stats = np.array([int(x) for x in sums]).reshape(-1, 4)
+    quarters = lambda c: (F.coalesce(F.sum(c), F.lit(0)), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2))
+    sums = counts.agg(*(x for c in cols for x in quarters(c))).first()
+    stats = np.array([int(x) for x in sums], float).reshape(-1, 4)
     tokens, types = int(stats[0, 0]), int(stats[0, 1])
-    discount = [_discount(*x[2:]) for x in stats.tolist()]
     # classes without training tokens are left out; without any, the first stands for all
     live = [k for k in range(classes) if stats[k + 1, 0]] or [0]
     shares = stats[1:, 0][live] / tokens if tokens else np.ones(1)
-    trained = train_lattices(counts, vocabulary_path, classes)
-    lattices = spark.sparkContext.broadcast([trained[k] for k in live])
+    stats = stats[[0, *(k + 1 for k in live)]]
+    start = vocabulary(vocabulary_path)
+    trie = compiled(list(start))
+    logs, stops = train_lattices(counts, trie, np.array(list(start.values())), classes)
+    shared = spark.sparkContext.broadcast((trie, logs[live], stops[live]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*shared.value)
         for b in batches:
             words, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
-            paths = lattices.value[0].log10(words, lattices.value)
+            paths = lattice.log10(words)
             paths[:, [i for i, w in enumerate(words) if not w]] = -np.inf  # the end is never spelled
-            value = paths
-            if tokens:
-                p = 10 ** np.maximum(paths, -290.0) * np.isfinite(paths)
-                p = np.maximum(c - discount[0], 0) / tokens + discount[0] * types / tokens * p
-                far = np.log10(discount[0] * types / tokens) + paths  # of words too long for a double
-                with np.errstate(divide="ignore"):
-                    low = np.where(p > 1e-280, np.log10(p), far)
-                value = np.empty_like(paths)
-                for i, k in enumerate(live):
-                    n, v = stats[k + 1, 0], stats[k + 1, 1]
-                    d = discount[k + 1]
-                    own = np.maximum(b.column(k + 2).to_numpy() - d, 0) / n
-                    with np.errstate(divide="ignore"):
-                        value[i] = np.where(low[i] > -250, np.log10(own + d * v / n * 10 ** np.maximum(low[i], -290.0)), np.log10(d * v / n) + low[i])
+            value = word_scores(paths, c, np.stack([b.column(k + 2).to_numpy() for k in live]), stats)
             value = np.where(np.isfinite(value), value, 0.0).astype("<f4")
             packed = [row.tobytes() for row in np.ascontiguousarray(value.T)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["w", "c", "s"])
@@ -404,45 +512,81 @@ def score_documents(
     table = stage(counts.select("w", *cols).mapInArrow(scored, "w binary, c long, s binary"), "lm-words")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen = None, set()
+        seen: dict[int, set[bytes]] = defaultdict(set)
+        held = 0
 
         def sent() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([block] * len(seen), pa.int64()), pa.array(list(seen), pa.binary())], ["block", "w"])
+            block = np.repeat(np.array(list(seen), np.int64), [len(own) for own in seen.values()])
+            made = pa.RecordBatch.from_arrays([pa.array(block), pa.array([w for own in seen.values() for w in own], pa.binary())], ["block", "w"])
             seen.clear()
             return made
 
         for b in batches:
-            for text, own in zip(b.column(0), b.column(1).to_pylist()):
-                if own != block or len(seen) > WORDS_HELD:
-                    if seen:
-                        yield sent()
-                    block = own
-                seen.add(b"")
-                seen.update(words_of(text.as_py()))
-        if seen:
+            for text, block in zip(b.column(0), b.column(1).to_pylist()):
+                own = seen[block]
+                held -= len(own)
+                own.add(b"")
+                own.update(words_of(text.as_py()))
+                held += len(own)
+                if held > WORDS_HELD:
+                    yield sent()
+                    held = 0
+        if held:
             yield sent()
 
     used = texts.select("text", "_block").mapInArrow(distinct, "block long, w binary")
     known = used.join(table, "w").select("block", "w", "c", "s")
+    runs = stage(count_runs(train), "lm-runs")
+    run_stats = _run_stats(every, runs)
+    as_word = F.concat(F.lit(b" "), F.unhex(F.lpad(F.hex("r"), 16, "0")))
+    known = known.unionByName(runs.select("block", as_word.alias("w"), "c", F.lit(b"").alias("s")))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(right.column("w").to_pylist())}
-        c = right.column("c").to_numpy()
+        c, w = right.column("c").to_numpy(), right.column("w").to_pylist()
         s = np.frombuffer(b"".join(right.column("s").to_pylist()), "<f4").reshape(-1, len(live))
-        base = np.log10((c + 1) / (tokens + types + 1))
-        out = []
-        for text in left.column("text"):
+        # a blank begins a run's key and no word; only words have scores
+        rows = [i for i, x in enumerate(w) if x[:1] != b" "]
+        place = {w[i]: n for n, i in enumerate(rows)}
+        told = {int.from_bytes(x[1:], "big", signed=True): int(n) for x, n in zip(w, c) if x[:1] == b" "}
+        c = c[rows]
+        base, end = np.log10((c + 1) / (tokens + types + 1)), place.get(b"", 0)
+        n_tokens, n_known, base_score, score = [], [], [], []
+
+        def close(at: list[np.ndarray], starts: list[list[int]], others: list[list[int]]) -> None:
+            lengths = np.array([len(x) for x in at])
+            first = np.cumsum(lengths) - lengths
+            flat = np.concatenate(at)
+            begin = np.concatenate([np.array(x) + f for x, f in zip(starts, first)])
+            counts = np.array([len(x) for x in starts])
+            last = np.cumsum(counts) - 1
+            # an index may not lie past the end, as that of an empty text may
+            found = np.add.reduceat(np.append(s[flat], np.zeros((1, len(live)), s.dtype), axis=0).astype(np.float64), begin, axis=0)
+            found[np.repeat(lengths == 0, counts)] = 0.0
+            found = np.where(np.repeat(lengths > 0, counts)[:, None], run_scores(found, np.concatenate(others), run_stats), found)
+            found[last] += s[end]
+            n_tokens.extend((lengths + 1).tolist())
+            padded = lambda x: np.add.reduceat(np.append(x, 0), first) * (lengths > 0)
+            n_known.extend((padded(c[flat] > 0).astype(np.int64) + int(c[end] > 0)).tolist())
+            base_score.extend((padded(base[flat]) + base[end]).tolist())
+            score.extend(text_scores(found, counts, shares).tolist())
+
+        at, starts, others, held = [], [], [], 0
+        for text, out in zip(left.column("text"), left.column("held_out").to_pylist()):
             words = words_of(text.as_py())
-            words.append(b"")
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            starts = np.arange(0, max(1, len(words) - 1), RUN)
-            runs = np.add.reduceat(s[at].astype(np.float64), starts, axis=0)
-            out.append((len(words), int((c[at] > 0).sum()), tokens, float(base[at].sum()), text_score(runs, shares)))
-        cols = list(zip(*out)) if out else [()] * 5
-        types_ = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.table([left.column("doc_id"), left.column("held_out"), *(pa.array(x, t) for x, t in zip(cols, types_))], ["doc_id", "held_out", *names])
+            at.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
+            starts.append(run_starts(words))
+            keys = run_keys(words, starts[-1]) if words else [0]
+            own = Counter() if out else Counter(keys)
+            others.append(np.array([told.get(r, own[r]) - own[r] for r in keys] if words else [0], np.float64))
+            held += len(words)
+            if held > TOKENS_HELD:
+                close(at, starts, others)
+                at, starts, others, held = [], [], [], 0
+        if at:
+            close(at, starts, others)
+        found = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([tokens] * len(n_tokens), pa.int64()), pa.array(base_score), pa.array(score)]
+        return pa.table([left.column("doc_id"), left.column("held_out"), *found], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return (
         texts.select("doc_id", "text", "held_out", F.col("_block").alias("block"))
@@ -453,3 +597,11 @@ def score_documents(
             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
         )
     )
+
+
+def _run_stats(every: DataFrame, runs: DataFrame) -> np.ndarray:
+    """Uses of runs in the training texts, their types, types used once and twice."""
+    uses = every.filter("w = binary(' ')").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    more = runs.filter("c > 1").agg(F.coalesce(F.sum("own"), F.lit(0)), F.coalesce(F.sum(F.col("own") / F.col("c")), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("c") == 2, F.col("own"))), F.lit(0))).first()
+    once = uses - more[0]
+    return np.array([uses, once + round(more[1]), once, more[2] // 2], float)
