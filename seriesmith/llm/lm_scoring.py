@@ -39,22 +39,24 @@ import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._shared import stage
 from .toxicity import fold_of
 
 FOLDS, HELD_OUT = 7, 2
-#: Bytes of text scored together at most (a longer text is alone), and words
-#: and runs held before a task sends them on.
-BLOCK_BYTES, WORDS_HELD = 64 << 20, 400_000
+#: Bytes of text scored together at most (a longer text is alone), the power of
+#: two under which texts are told apart by size no further, and words and runs
+#: held before a task sends them on.
+BLOCK_BYTES, LEAST_POWER, WORDS_HELD = 64 << 20, 13, 400_000
 #: Words summed up together.
 TOKENS_HELD = 200_000
 #: Words of a run at most, and the chance that a run keeps the class before.
 RUN, STAY = 32, 0.9
 #: Bytes of a word after which a run ends.
 ENDS = b".!?"
-#: Lattice positions computed at a time.
-POSITIONS = 1 << 16
+#: Lattice positions, and words, computed at a time.
+POSITIONS, WORDS_TOGETHER = 1 << 18, 50_000
 #: Weight of the vocabulary's own scores, in word types, when re-estimating,
 #: and how often that is done.
 PRIOR, ROUNDS = 100.0, 3
@@ -69,13 +71,13 @@ def words_of(text: str | None) -> list[bytes]:
 
 def run_starts(words: list[bytes]) -> list[int]:
     """Where each run of words begins; a text without words has one empty run."""
-    out, since = [0], 0
-    for i, w in enumerate(words, 1):
-        since += 1
-        if w[-1] in ENDS or since == RUN:
-            out.append(i)
-            since = 0
-    return out[:-1] if len(out) > 1 and out[-1] == len(words) else out
+    out = [0]
+    for stop in [*(i for i, w in enumerate(words, 1) if w[-1] in ENDS), len(words)]:
+        while stop - out[-1] > RUN:
+            out.append(out[-1] + RUN)
+        if out[-1] < stop < len(words):
+            out.append(stop)
+    return out
 
 
 def run_keys(words: list[bytes], starts: list[int]) -> list[int]:
@@ -265,7 +267,7 @@ def located(df: DataFrame, text: Column) -> DataFrame:
     files are split. A table that isn't read from files is written first.
     """
     def with_block(d: DataFrame) -> DataFrame:
-        power = F.ceil(F.log2(F.coalesce(F.octet_length(text), F.lit(0)) + 256)).cast("int")
+        power = F.greatest(F.ceil(F.log2(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).cast("int"), F.lit(LEAST_POWER))
         run = F.floor(F.col("_metadata.row_index") / F.greatest(F.lit(BLOCK_BYTES) / F.pow(F.lit(2.0), power), F.lit(1.0)))
         return d.select("*", F.xxhash64("_metadata.file_path", power, run).alias("_block"))
 
@@ -284,8 +286,7 @@ def count_words(texts: DataFrame, names: list[str]) -> DataFrame:
     """(w, c, c0, c1, ...): uses of every word of ``texts(text, train, class)`` in training texts.
 
     c0 counts texts of no class, c1 those of the first and so on. Words of
-    other texts only have counts of 0. The empty word is the end token, and a
-    blank counts the runs.
+    other texts only have counts of 0. The empty word is the end token.
     """
     place = {n: i + 1 for i, n in enumerate(names)}
 
@@ -306,7 +307,6 @@ def count_words(texts: DataFrame, names: list[str]) -> DataFrame:
                 words.append(b"")
                 own = seen[place.get(name, 0)] if train else seen[0]
                 if train:
-                    own[b" "] += len(run_starts(words[:-1])) if len(words) > 1 else 0
                     own.update(words)
                 else:
                     for w in set(words):
@@ -324,11 +324,11 @@ def count_runs(texts: DataFrame) -> DataFrame:
     """(block, r, own, c): runs of words, their uses in the block's and in all training texts.
 
     ``texts`` has text, train and _block. Runs used once in all tell no other
-    text anything and are left out.
+    text anything and are left out; a null run has all uses of all runs.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, dict[int, list[int]]] = defaultdict(dict)
-        held = 0
+        held = uses = 0
 
         def sent() -> pa.RecordBatch:
             rows = [(block, r, *n) for block, own in seen.items() for r, n in own.items()]
@@ -339,7 +339,9 @@ def count_runs(texts: DataFrame) -> DataFrame:
             for text, train, block in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words, own = words_of(text.as_py()), seen[block]
                 held -= len(own)
-                for r in run_keys(words, run_starts(words)) if words else ():
+                keys = run_keys(words, run_starts(words)) if words else ()
+                uses += len(keys) * train
+                for r in keys:
                     n = own.setdefault(r, [0, 0])
                     n[0] += 1
                     n[1] += train
@@ -349,11 +351,13 @@ def count_runs(texts: DataFrame) -> DataFrame:
                     held = 0
         if held:
             yield sent()
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, None, 2, uses)], ["block", "r", "n", "c"])
 
-    # one exchange by r serves the sums and the join with them
-    rows = texts.select("text", "train", "_block").mapInArrow(run, "block long, r long, n long, c long").repartition("r")
-    sums = rows.groupBy("r").agg(F.sum("n").alias("_n"), F.sum("c").alias("_c"))
-    return rows.join(sums, "r").filter("_n > 1 and _c > 0").select("block", "r", F.col("c").alias("own"), F.col("_c").alias("c"))
+    # a run has a row a block and task at most, and one a task is null
+    rows = texts.select("text", "train", "_block").mapInArrow(run, "block long, r long, n long, c long")
+    by = Window.partitionBy("r")
+    summed = rows.withColumns({"_n": F.sum("n").over(by), "_c": F.sum("c").over(by)})
+    return summed.filter("_n > 1 and _c > 0").select("block", "r", F.col("c").alias("own"), F.col("_c").alias("c"))
 
 
 def train_lattices(counts: DataFrame, trie: tuple[np.ndarray, ...], weights: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -367,12 +371,21 @@ def train_lattices(counts: DataFrame, trie: tuple[np.ndarray, ...], weights: np.
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trie, logs = shared.value
             uses, types = np.zeros((classes, size)), np.zeros(classes)
+            held: list[list[bytes]] = [[] for _ in range(classes)]
+
+            def close(k: int) -> None:
+                uses[k] += Lattice(trie, logs[k], 0.0).expected(held[k])
+                types[k] += len(held[k])
+                held[k].clear()
+
             for b in batches:
                 words = b.column(0).to_pylist()
                 for k in range(classes):
-                    own = [words[i] for i in np.flatnonzero(b.column(k + 1).to_numpy())]
-                    uses[k] += Lattice(trie, logs[k], 0.0).expected(own)
-                    types[k] += len(own)
+                    held[k] += [words[i] for i in np.flatnonzero(b.column(k + 1).to_numpy())]
+                    if len(held[k]) >= WORDS_TOGETHER:
+                        close(k)
+            for k in range(classes):
+                close(k)
             if types.any():
                 k, g = np.nonzero(uses)
                 every = np.arange(classes)
@@ -400,6 +413,18 @@ def discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int = WORDS_TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Batches joined into ones of ``rows`` or more."""
+    held, n = [], 0
+    for b in batches:
+        held, n = [*held, b], n + b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def text_scores(runs: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """log10 of each text's sum over all classes of its runs.
 
@@ -482,8 +507,7 @@ def score_documents(
     train = texts.select("text", (~F.col("held_out")).alias("train"), "class", "_block")
     names = class_names(train)
     classes = len(names) + 1
-    every = stage(count_words(train, names), "lm-counts")
-    counts = every.filter("w <> binary(' ')")
+    counts = stage(count_words(train, names), "lm-counts")
     cols = ["c", *(f"c{k}" for k in range(classes))]
     quarters = lambda c: (F.coalesce(F.sum(c), F.lit(0)), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2))
     sums = counts.agg(*(x for c in cols for x in quarters(c))).first()
@@ -500,7 +524,7 @@ def score_documents(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
-        for b in batches:
+        for b in together(batches):
             words, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
             paths = lattice.log10(words)
             paths[:, [i for i, w in enumerate(words) if not w]] = -np.inf  # the end is never spelled
@@ -537,7 +561,8 @@ def score_documents(
     used = texts.select("text", "_block").mapInArrow(distinct, "block long, w binary")
     known = used.join(table, "w").select("block", "w", "c", "s")
     runs = stage(count_runs(train), "lm-runs")
-    run_stats = _run_stats(every, runs)
+    run_stats = _run_stats(runs)
+    runs = runs.filter("r is not null")
     as_word = F.concat(F.lit(b" "), F.unhex(F.lpad(F.hex("r"), 16, "0")))
     known = known.unionByName(runs.select("block", as_word.alias("w"), "c", F.lit(b"").alias("s")))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -599,9 +624,10 @@ def score_documents(
     )
 
 
-def _run_stats(every: DataFrame, runs: DataFrame) -> np.ndarray:
+def _run_stats(runs: DataFrame) -> np.ndarray:
     """Uses of runs in the training texts, their types, types used once and twice."""
-    uses = every.filter("w = binary(' ')").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    more = runs.filter("c > 1").agg(F.coalesce(F.sum("own"), F.lit(0)), F.coalesce(F.sum(F.col("own") / F.col("c")), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("c") == 2, F.col("own"))), F.lit(0))).first()
-    once = uses - more[0]
-    return np.array([uses, once + round(more[1]), once, more[2] // 2], float)
+    uses = runs.filter("r is null").agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+    sums = (F.sum("own"), F.sum(F.col("own") / F.col("c")), F.sum(F.when(F.col("c") == 2, F.col("own"))))
+    more, kinds, twice = (x or 0 for x in runs.filter("r is not null and c > 1").agg(*sums).first())
+    once = uses - more
+    return np.array([uses, once + round(kinds), once, twice // 2], float)

@@ -198,6 +198,7 @@ def test_score_edges(spark):
 
 def test_blocks_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(lm_scoring, "LEAST_POWER", 8)
     rows = [(i, "x" * (3000 if i % 3 else 10)) for i in range(90)] + [(100, "y" * 10_000)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "t"))
     docs = spark.read.parquet(str(tmp_path / "t"))
