@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .ngrams import bounded, hashes, laid_out, position_sums
 
 LENGTHS, HASH_BITS = (4, 6), 20
+#: Sample texts whose features are held together while fitting.
+TOGETHER = 250
 #: Bound of the labelled sample the classifier is fitted on, of either label.
 MOST_TOXIC, MOST_OTHER = 3000, 5000
 #: Features in fewer sample texts, or with a smaller |log ratio|, weigh nothing.
@@ -55,11 +57,13 @@ def _counts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, int]]
     return out
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias) from texts' counts, 0/1 labels and row weights.
+def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, weights, bias) from texts, 0/1 labels and row weights.
 
-    Without both labels there are no features, and the bias is the smoothed
-    log-odds of the labels there are.
+    Texts are counted twice, TOGETHER at a time: once to choose the features,
+    once for the chosen ones, which alone are kept. Without both labels there
+    are no features, and the bias is the smoothed log-odds of the labels
+    there are.
     """
     size = len(LENGTHS) << HASH_BITS
     toxic = labels == 1
@@ -67,35 +71,43 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, weig
     odds = float(np.log((mass[0] + 0.5) / (mass[1] + 1.5)))
     if not toxic.any() or toxic.all():
         return np.empty(0, np.int32), np.empty(0, np.float32), odds
+    starts = range(0, len(texts), TOGETHER)
     seen = np.zeros((2, size), np.float32)
-    for (u, _, _), y in zip(rows, toxic):
-        seen[0 if y else 1, u] += 1
+    for at in starts:
+        for (u, _, _), y in zip(_counts(texts[at : at + TOGETHER]), toxic[at:]):
+            seen[0 if y else 1, u] += 1
     ratio = np.log((seen[0] + 0.5) / (toxic.sum() + 1)) - np.log((seen[1] + 0.5) / ((~toxic).sum() + 1))
     ratio[(seen.sum(axis=0) < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
     chosen = np.flatnonzero(ratio)
     place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    cols, vals, ends = [], [], [0]
-    for u, k, t in rows:
-        p = place[u]
-        own = p >= 0
-        cols.append(p[own])
-        vals.append(ratio[u[own]] * k[own] / np.sqrt(max(t, 1)))
-        ends.append(ends[-1] + int(own.sum()))
-    col, val, row = np.concatenate(cols), np.concatenate(vals).astype(np.float64), np.repeat(np.arange(len(rows)), np.diff(ends))
-    scale = np.sqrt((val**2).sum() / len(rows)) or 1.0
-    val /= scale
+    blocks, square = [], 0.0  # (texts, features, values, rows) of TOGETHER texts each
+    for at in starts:
+        cols, vals, sizes = [], [], []
+        for u, k, t in _counts(texts[at : at + TOGETHER]):
+            own = place[u] >= 0
+            cols.append(place[u[own]])
+            vals.append((ratio[u[own]] * k[own] / np.sqrt(max(t, 1))).astype(np.float32))
+            sizes.append(len(cols[-1]))
+        blocks.append((slice(at, at + len(sizes)), np.concatenate(cols), np.concatenate(vals), np.repeat(np.arange(len(sizes), dtype=np.int16), sizes)))
+        square += float((blocks[-1][2].astype(np.float64) ** 2).sum())
+    scale = np.sqrt(square / len(texts)) or 1.0
+    norms = np.concatenate([np.bincount(row, (val.astype(np.float64) / scale) ** 2, minlength=own.stop - own.start) for own, _, val, row in blocks])
     y, share = toxic.astype(np.float64), np.where(toxic, TOXIC_WEIGHT, 1.0) * weights
     share /= share.sum()
-    step = 1 / (0.25 * np.quantile(np.bincount(row, val**2, minlength=len(rows)), 0.95) + 0.25 + RIDGE)
+    step = 1 / (0.25 * np.quantile(norms, 0.95) + 0.25 + RIDGE)
     # accelerated descent on the weighted mean logistic loss with a ridge
     w = z = np.zeros(len(chosen))
     bias, pace = odds, 1.0
     for _ in range(ROUNDS):
-        margin = np.bincount(row, val * z[col], minlength=len(rows)) + bias
-        slope = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) * share
-        after = z - step * (np.bincount(col, val * slope[row], minlength=len(chosen)) + RIDGE * z)
-        bias -= step * slope.sum()
+        slope_of, total = np.zeros(len(chosen)), 0.0
+        for own, col, val, row in blocks:
+            margin = np.bincount(row, val * z[col], minlength=own.stop - own.start) / scale + bias
+            slope = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y[own]) * share[own]
+            slope_of += np.bincount(col, val * slope[row], minlength=len(chosen)) / scale
+            total += slope.sum()
+        after = z - step * (slope_of + RIDGE * z)
+        bias -= step * total
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         z, w, pace = after + (pace - 1) / faster * (after - w), after, faster
     return chosen.astype(np.int32), (w * ratio[chosen] / scale).astype(np.float32), float(bias)
@@ -122,12 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = {1: total.get(1, 0) / max(1, min(MOST_TOXIC, total.get(1, 0))), 0: total.get(0, 0) / max(1, min(MOST_OTHER, total.get(0, 0)))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, ys = [], []
+        texts, ys = [], []
         for b in batches:
-            rows += _counts(b.column(0).to_pylist())
+            texts += b.column(0).to_pylist()
             ys += b.column(1).to_pylist()
         y = np.array(ys, np.int64)
-        f, w, bias = fit(rows, y, np.where(y == 1, share[1], share[0]))
+        f, w, bias = fit(texts, y, np.where(y == 1, share[1], share[0]))
         yield pa.RecordBatch.from_arrays([pa.array([f], pa.list_(pa.int32())), pa.array([w], pa.list_(pa.float32())), pa.array([bias])], ["f", "w", "bias"])
 
     # the sample's ids are at most MOST_TOXIC + MOST_OTHER rows
