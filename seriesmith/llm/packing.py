@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,10 @@ WINDOW, END_ID = 2048, 1
 #: Ids of a token, in bytes.
 WIDTH = 4
 
+#: White space that goes on for so long is cut out before the pre-split
+#: pattern, whose engine gives up on longer runs.
+LONG_SPACE = 10_000
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: (document's number, start, bytes of the ids)
@@ -45,6 +50,8 @@ class Encoder:
     The ids are those of the tokenizers library; tiktoken makes them from the
     same vocabulary about eight times as fast. It takes a token's id as its
     rank, which the file must bear out. Special tokens stand for themselves.
+    A long run of white space is a pre-split word of its own, less its last
+    character if more text follows; it goes to the encoder past the pattern.
     """
 
     def __init__(self, definition: str):
@@ -57,15 +64,28 @@ class Encoder:
             raise ValueError("the vocabulary's ids don't follow the order of its merges")
         self.model = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.space = regex.compile(r"\s{%d,}" % LONG_SPACE)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not any(mark in text for mark in self.special):
-            return self.model.encode_to_numpy(text).astype("<u4", copy=False).tobytes() if text else b""
+            return b"".join(self._plain(text)) if len(text) >= LONG_SPACE else self._split(text)
         return b"".join(
             self.special[part].to_bytes(WIDTH, "little") if i % 2 else self.ids(part) for i, part in enumerate(self.marks.split(text))
         )
 
+    def _split(self, text: str) -> bytes:
+        return self.model.encode_to_numpy(text).astype("<u4", copy=False).tobytes() if text else b""
+
+    def _plain(self, text: str) -> Iterator[bytes]:
+        at = 0
+        for run in self.space.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            yield self._split(text[at : run.start()])
+            yield np.array(self.model._encode_single_piece(text[run.start() : stop].encode()), "<u4").tobytes()
+            at = stop
+        yield self._split(text[at:])
+
 
 def shared_encoder(definition: str) -> Encoder:
     """The worker's encoder for a tokenizer file, made once a process."""
