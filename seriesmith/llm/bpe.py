@@ -1,20 +1,25 @@
-"""Byte-level BPE as a tokenization automaton.
-
-The merges are compiled one by one into a deterministic automaton over
-tokens. Its states are the last token read, its arcs are labelled with tokens
-and their bytes; at first every byte may follow every byte. The gadget of
-merge number r, (u, v) -> w, does three things: the arc v out of u is cut (so
-u v can no longer be read), a new state w gets the arcs that leave v, and
-every state that had an arc to u gets one to w. The last two are inherited by
-reference (a state from its right part, an arc from its left part, each as of
-rank r), so the compiled automaton is a few arrays of one entry per merge.
-``follows(x, y)`` reads an arc off these arrays, and the arcs met are kept in
-a transition table.
-
-The automaton reads exactly one token sequence for a byte string: the BPE
-encoding. ``encode`` searches it over a pre-split word, longest arc first,
-and never enters a (position) twice that was found dead. Decoding emits the
-labels of the arcs.
+"""Byte-level BPE as a deterministic tokenization automaton.
+
+The merges are compiled one by one into an automaton over tokens. Its states
+are the last token read, its arcs are labelled with tokens and their bytes; at
+first every byte may follow every byte. The gadget of merge number r,
+(u, v) -> w, does three things: the arc v out of u is cut (so u v can no longer
+be read), a new state w gets the arcs that leave v, and every state that had an
+arc to u gets one to w. The last two are inherited by reference (a state from
+its right part, an arc from its left part, each as of rank r), so this
+automaton is a few arrays of one entry per merge, and ``follows(x, y)`` reads
+an arc off them. It reads exactly one token sequence for a byte string: the
+BPE encoding.
+
+Every part of an encoding is the encoding of its bytes, so the prefixes of a
+word have encodings that end in one token each, and the token that ends the
+next prefix hangs on those only from which some token still reaches it. That
+makes the automaton over bytes deterministic: a state is the set of (bytes
+read of a token to come, token before it), and a byte leads to one state and
+emits one token, the last of the prefix's encoding. Its transition table is
+filled by the rows that words reach; ``encode`` walks a pre-split word through
+it byte by byte and reads the tokens off from the word's end. Nothing is tried
+twice. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -32,15 +37,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Chunks, words and transitions kept by a worker before each table starts
+#: Chunks, words, arcs and states kept by a worker before each table starts
 #: anew, and the longest chunk or word that is kept, in code points.
-CHUNKS_KEPT, WORDS_KEPT, ARCS_KEPT, KEPT_LENGTH = 400_000, 400_000, 1_000_000, 64
+CHUNKS_KEPT, WORDS_KEPT, ARCS_KEPT, STATES_KEPT, KEPT_LENGTH = 400_000, 400_000, 500_000, 300_000, 64
 
 #: The pre-split pattern of byte-level tokenizers of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Rank of "never"; the lengths to try where only one byte fits.
-NEVER, ONE = 1 << 60, (1,)
+#: Rank of "never"; where a state holds its token and its readings.
+NEVER, EMITS, READS = 1 << 60, -1, -2
 
 
 def packed(ids: list[int]) -> bytes:
@@ -82,18 +87,21 @@ class Automaton:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(r, vocab[to_bytes(a)], vocab[to_bytes(b)], vocab[to_bytes(a + b)])
         self.known = {b: i for b, i in vocab.items() if len(b) == 1 or self.rank[i] >= 0}
-        # lengths of the arcs to try, longest first, by the next 4 bytes (or
-        # by 3 or 2 where no arc has 4 of them)
-        sizes: dict[bytes, set[int]] = {}
-        for b in self.known:
-            for k in (2, 3, 4):
-                if len(b) == k or len(b) > k == 4:
-                    sizes.setdefault(b[:k], {1}).add(len(b))
-            for k in range(2, min(4, len(b))):
-                sizes.setdefault(b[:k], {1})
-        for b, found in sizes.items():
-            found.update(k for k in (2, 3) if k < len(b) and b[:k] in self.known)
-        self.sizes = {b: tuple(sorted(found, reverse=True)) for b, found in sizes.items()}
+        # bytes of the arcs as a trie: node << 8 | byte -> node, the token that ends at a node
+        self.child: dict[int, int] = {}
+        self.ends = [-1]
+        for label, token in self.known.items():
+            node = 0
+            for byte in label:
+                after = self.child.get(node << 8 | byte)
+                if after is None:
+                    after = self.child[node << 8 | byte] = len(self.ends)
+                    self.ends.append(-1)
+                node = after
+            self.ends[node] = token
+        self.inner = {key >> 8 for key in self.child}
+        self.size = {i: len(b) for i, b in self.label.items()}
+        self._forget()
         self.decimal = {i: str(i) for i in self.label}
         self.words: dict[str, list[int]] = {}
         self.arcs: dict[int, bool] = {}
@@ -124,38 +132,62 @@ class Automaton:
             until_x, x = rank[x], right[x]
         return True
 
-    def encode(self, word: bytes) -> list[int]:
-        """The token sequence that the automaton reads for a pre-split word."""
-        known, sizes, arcs, n = self.known, self.sizes, self.arcs, len(word)
-        path: list[int] = []
-        tried: list[Iterator[int]] = []
-        at, last, dead = 0, -1, set()
-        lengths = iter(sizes.get(word[:4]) or sizes.get(word[:3]) or sizes.get(word[:2], ONE))
-        while at < n:
-            for size in lengths:
-                end = at + size
-                if end > n or end in dead:
-                    continue
-                token = known.get(word[at:end])
-                if token is None:
-                    continue
-                if last >= 0:
+    def _forget(self) -> None:
+        """Start the transition table anew, from the state before a word."""
+        # a state is its row of the table, byte -> state; under EMITS the
+        # last token, under READS what is being read
+        self.first = {EMITS: -1, READS: ((0, -1),)}
+        self.states = {self.first[READS]: self.first}
+
+    def _state(self, reading: tuple[tuple[int, int], ...]) -> dict:
+        """The state of a set of readings; the last is the token that it emits."""
+        found = self.states.get(reading)
+        if found is None:
+            found = self.states[reading] = {EMITS: reading[-1][1], READS: reading}
+        return found
+
+    def _step(self, state: dict, byte: int) -> dict:
+        """Fill in one transition: the state after ``state`` and ``byte``."""
+        child, ends, inner, arcs, found, reading = self.child, self.ends, self.inner, self.arcs, -1, []
+        for node, last in state[READS]:
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            token = ends[node]
+            if token >= 0 and found < 0:
+                if last < 0:
+                    found = token
+                else:
                     ok = arcs.get(key := last << 20 | token)
                     if ok is None:
                         ok = arcs[key] = self.follows(last, token)
-                    if not ok:
-                        continue
-                path.append(token)
-                tried.append(lengths)
-                at, last = end, token
-                lengths = iter(sizes.get(word[at : at + 4]) or sizes.get(word[at : at + 3]) or sizes.get(word[at : at + 2], ONE))
-                break
-            else:  # no arc reads on from here: leave the last token
-                dead.add(at)
-                at -= len(self.label[path.pop()])
-                lengths = tried.pop()
-                last = path[-1] if path else -1
-        return path
+                    if ok:
+                        found = token
+            if node in inner:
+                reading.append((node, last))
+        reading.append((0, found))
+        after = state[byte] = self._state(tuple(reading))
+        return after
+
+    def encode(self, word: bytes) -> list[int]:
+        """The token sequence that the automaton reads for a pre-split word."""
+        state, last = self.first, []
+        for byte in word:
+            after = state.get(byte)
+            if after is None:
+                if len(self.states) > STATES_KEPT:
+                    kept = state[READS]
+                    self._forget()
+                    state = self._state(kept)
+                after = self._step(state, byte)
+            state = after
+            last.append(state[EMITS])
+        size, at, out = self.size, len(last), []
+        while at:
+            out.append(token := last[at - 1])
+            at -= size[token]
+        out.reverse()
+        return out
 
     def _ids(self, chunk: str, letters: bool) -> list[int]:
         """Ids of a chunk; ``letters``: it is a single pre-split word."""

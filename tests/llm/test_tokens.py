@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from seriesmith.llm.bpe import Automaton, definition_of, encode_documents
+from seriesmith.llm.bpe import EMITS, READS, Automaton, definition_of, encode_documents
 from seriesmith.llm.packing import Encoder, SumOfSquares, pack_documents
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -54,6 +54,42 @@ def test_arcs_are_those_of_encodings(library, definition):
         assert not automaton.follows(key >> 20, key & (1 << 20) - 1)
 
 
+def test_table_has_one_arc_a_byte(library, definition):
+    """Each reached state and byte has one successor, which emits the only token that fits."""
+    automaton, rng = Automaton(definition), random.Random(9)
+    words = ["".join(rng.choice("abcdefgh tion.é日") for _ in range(rng.randrange(1, 40))).encode() for _ in range(400)]
+    for w in words:
+        automaton.encode(w)
+    for state in list(automaton.states.values()):
+        for byte in [b for b in state if b >= 0]:
+            fit = []
+            for node, last in state[READS]:
+                token = automaton.ends[automaton.child[node << 8 | byte]] if node << 8 | byte in automaton.child else -1
+                if token >= 0 and (last < 0 or automaton.follows(last, token)):
+                    fit.append(token)
+            assert fit == [state[byte][EMITS]]
+    few = Automaton(definition)
+    for w in words[:50]:  # a table that is started anew inside words gives the same
+        few.states |= {((i, i),): {} for i in range(400_000)}
+        assert few.encode(w) == automaton.encode(w)
+
+
+def test_very_long_white_space(spark, library):
+    import corpus_pipeline
+
+    text = "a" + " " * 2_000_000 + "\t" * 1_500_000 + "\n" * 1_500_000 + " b"
+    ids = library.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, text), (2, "\u00a0" * 30_000), (3, "x  " + "\x1c" * 20_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in encode_documents(spark, docs, PATH).collect()}
+    assert got[1]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    whole = np.array([*ids, 1], "<u4")
+    for pieces in (pack_documents(spark, docs, PATH).collect(), corpus_pipeline.pack(spark, docs, "").collect()):
+        own = [r for r in pieces if r["doc_id"] == 1]
+        assert sum(r["length"] for r in own) == len(whole) == own[0]["doc_tokens"]
+        assert all(zlib.crc32(whole[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in own)
+        assert {r["doc_tokens"] for r in pieces if r["doc_id"] != 1} == {got[i]["n_tokens"] + 1 for i in (2, 3)}
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, ids string, start int")
 
