@@ -10,23 +10,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (local tests) a temporary folder
-    of this process is used instead.
+    Only where a local session leaves it unset (tests) a temporary folder of
+    this process is used instead; a cluster's session must set it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="seriesmith-"))
 
 
 def staged_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +47,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_so_far() -> int:
+    """A mark to give to ``release``."""
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete what was staged after the mark, but for the files that ``keep`` reads.
+
+    Whoever writes a result calls this afterwards: results are lazy, and read
+    what their operators staged.
+    """
+    kept = [f for df in keep for f in df.inputFiles()]
+    jvm = spark.sparkContext._jvm
+    for path in _STAGED[since:]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        if not any(path.split(":", 1)[-1].lstrip("/") in f for f in kept):
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _STAGED.remove(path)
+
+
 def text_or_empty(col: str | Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

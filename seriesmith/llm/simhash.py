@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stage
+from ._shared import release, stage, staged_so_far
 
 BITS, RADIUS, WORDS, SEED = 64, 4, 4, 42
 FULL = (1 << BITS) - 1
@@ -40,6 +40,9 @@ TOGETHER = 512
 QUERIES = 256
 #: Fingerprints expected under one key, by which the blocks are chosen.
 PER_KEY = 64
+#: Edges of a node from which its key is broadcast, at least, and how many
+#: such nodes the edges have room for, at most half of them.
+HUB_EDGES, HUBS = 1 << 16, 1 << 15
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -244,28 +247,47 @@ def links(nodes: DataFrame, radius: int = RADIUS, part: int = PART, blocks: int
     return found.distinct()
 
 
+def _with_least(rows: DataFrame, key: str, least: DataFrame, heavy: int) -> DataFrame:
+    """``rows`` joined with ``least(key, m, n)``, the n rows of each key spread if they are many.
+
+    Keys of more than ``heavy`` rows are broadcast: there are at most
+    rows / heavy of them. The others meet their rows in an exchange.
+    """
+    hubs = F.broadcast(least.filter(F.col("n") > heavy).select(key, F.col("m").alias("_hub")))
+    at = rows.join(hubs, key, "left")
+    light = least.filter(F.col("n") <= heavy).select(key, "m")
+    return (
+        at.filter("_hub is not null").withColumnRenamed("_hub", "m")
+        .unionByName(at.filter("_hub is null").drop("_hub").join(light, key))
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for nodes with edges.
 
     Large-star and small-star rounds on edges (a, b) with a < b, each written
-    to the shared folder, until nothing changes.
+    to the shared folder, until nothing changes. A node with very many edges
+    is one key of them; such keys are broadcast, at most 2 * HUBS of them.
     """
+    spark, mark = edges.sparkSession, staged_so_far()
     now = stage(edges.select("a", "b").filter("a <> b").distinct(), "components")
-    if now.isEmpty():
+    count = now.count()
+    if not count:
         return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    mark = None
+    heavy, seen = max(HUB_EDGES, count // HUBS), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _with_least(both, "a", least, heavy).filter("b > a").select(F.col("m").alias("a"), "b").distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, "b", low, heavy).select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         now = stage(small.filter("a <> b").distinct(), "components")
+        release(spark, mark, keep=(now,))
         # the edge set is stable once its size and checksum are
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if found == seen:
             return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        mark = seen
+        seen = found
 
 
 def near_duplicates(
@@ -279,6 +301,7 @@ def near_duplicates(
     no component unless all ids of a fingerprint are null, which then stays
     alone with a null component. Repeated rows give repeated results.
     """
+    mark = staged_so_far()
     docs = stage(fingerprints(df, id_col, text_col, words), "simhash-docs")
     nodes = stage(docs.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "simhash-nodes")
     # a repeated id may stand for several fingerprints: one node then
@@ -287,4 +310,5 @@ def near_duplicates(
     named = stage(
         nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-classes"
     )
+    release(df.sparkSession, mark, keep=(docs, named))
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
