@@ -29,6 +29,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REVISIT_BYTES = 1000
 #: Ranges at most so far apart are read at once, up to so many bytes a read.
 GAP, READ = 64 << 10, 8 << 20
+#: Bytes of archives that a reading task is meant for.
+TASK_BYTES = 16 << 20
 
 INDEX = "page_id long, url string, record_type string, refers_to long, digest string, file string, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -140,6 +142,7 @@ def read_records(index: DataFrame) -> DataFrame:
 
     Responses' digests are computed anew and must equal the recorded ones;
     a revisit has the length and digest of the payload that it refers to.
+    There are as many tasks as the records' bytes ask for.
     """
     names = [x.split()[0] for x in RECORD.split(", ")]
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
@@ -180,9 +183,10 @@ def read_records(index: DataFrame) -> DataFrame:
             source.close()
 
     # a range of one file's offsets may go to another task: nothing hangs on a file being whole
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     return (
         index.select("file", "offset", "length")
-        .repartitionByRange("file", "offset")
+        .repartitionByRange(total // TASK_BYTES + 1, "file", "offset")
         .sortWithinPartitions("file", "offset")
         .mapInArrow(read, RECORD)
     )
