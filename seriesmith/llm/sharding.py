@@ -1,6 +1,8 @@
 """Minimax contiguous partition of atomic groups into shards.
 
-Groups (equal texts) are ordered by content hash. The smallest feasible shard
+Groups (equal texts) are ordered: those larger than an even share of what
+comes after them first, each a shard of its own, the others by content hash.
+The smallest feasible shard
 capacity is found by binary search, each trial checked greedily, over a
 summary of bounded size: hash-prefix cells with their byte totals. Only cells
 in which a cut can fall are then split by further digits, until each of them
@@ -89,18 +91,36 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
         known = sorted([c for i, c in enumerate(known) if i not in split] + finer)
 
 
+def giant_groups(groups: DataFrame, shards: int) -> list[str]:
+    """Groups of ``groups(h, size)`` that exceed an even share, largest first.
+
+    Each is measured against an even share of the bytes and shards that the
+    larger ones leave, so there are fewer than ``shards`` while others remain.
+    """
+    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    largest = groups.orderBy(F.desc("size"), "h").limit(shards).collect()
+    found: list[str] = []
+    for r in largest:
+        if len(found) == shards or r["size"] * (shards - len(found)) <= total:
+            break
+        found.append(r["h"])
+        total -= r["size"]
+    return found
+
+
 def shard_by_bytes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 8
 ) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law ``bytes``: the largest shard is as small as contiguous runs of atomic
-    groups of equal texts, ordered by MD5, allow. A null text has no bytes
+    groups of equal texts allow, in the order of the module's docstring, and
+    the shards beside a group larger than an even share are as near equal as
+    if it were not there. A null text has no bytes
     (size 1, CRC of nothing) and shares its group with empty texts. Slots
     number each shard's rows from 0 without gaps; among repeated rows the
     numbers are dealt arbitrarily but once each. Null ids are rows like any
-    other. An empty table gives an empty result. A group larger than an even
-    share decides the capacity, and shards after it may then stay light.
+    other. An empty table gives an empty result.
     """
     text = text_or_empty(text_col)
     rows = stage(
@@ -113,8 +133,11 @@ def shard_by_bytes(
         "shard-rows",
     )
     groups = stage(rows.groupBy("h").agg(F.sum("size").alias("size")), "shard-groups")
-    _, cuts = minimax_cuts(groups, shards)
-    shard = sum(((F.col("h") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    giants = giant_groups(groups, shards)
+    _, cuts = minimax_cuts(groups.filter(~F.col("h").isin(giants)), shards - len(giants))
+    shard = sum(((F.col("h") >= F.lit(c)).cast("int") for c in cuts), F.lit(len(giants)))
+    for i, h in enumerate(giants):
+        shard = F.when(F.col("h") == h, i).otherwise(shard)
     buckets = max(1, min(MAX_BUCKETS, rows.count() // BUCKET_ROWS))
     placed = rows.select(
         "doc_id",
