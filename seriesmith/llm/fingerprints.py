@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from ._shared import text_or_empty
@@ -20,8 +21,9 @@ from ._shared import text_or_empty
 PARAGRAPH = r"[^\n.!?]{1,64}[\n.!?]*|[\n.!?]+"
 #: One leaf in so many opens a section.
 SECTION = 8
-#: Cells of the id histogram, and text bytes aimed at for a neighbour bucket.
-ID_CELLS, BUCKET_BYTES = 65536, 8 << 20
+#: Cells of the id histogram (2**CELL_BITS quantiles), the error of their
+#: ranks as a part of all rows, and text bytes aimed at for a neighbour bucket.
+CELL_BITS, CELL_ERROR, BUCKET_BYTES = 14, 1 / 200_000, 8 << 20
 
 
 def leaves(text: Column) -> Column:
@@ -81,19 +83,30 @@ def differing_leaves(a: Column, b: Column) -> Column:
 def with_next(df: DataFrame, id_col: str, size: Column, columns: list[str]) -> DataFrame:
     """Add ``next_<c>`` of the next row by descending id, the first's to the last.
 
-    Rows are dealt by a byte-balanced histogram over the ids (ID_CELLS cells,
-    so the map that is broadcast never has more rows), sorted inside buckets,
-    and the first row of each bucket is copied behind the last of the one
-    before. No window spans the whole table, and each row moves once.
+    Rows are dealt by a byte-balanced histogram over approximate quantiles of
+    the ids (2**CELL_BITS cells, so the map that is broadcast never has more
+    rows, and no gap or far id crowds a cell), sorted inside buckets, and the
+    first row of each bucket is copied behind the last of the one before. No
+    window spans the whole table, and each row moves once. Ids are integers.
     """
-    span = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))
-    lo, hi = span.first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = (hi - lo) // ID_CELLS + 1
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be an integer column")
+    top = 1 << CELL_BITS
+    ranks = F.array_distinct(F.percentile_approx(id_col, [i / top for i in range(1, top)], int(1 / CELL_ERROR)))
+    # quantiles are few and go along with every row's task as one value
+    cuts = df.agg(F.coalesce(ranks, F.array().cast("array<bigint>")).cast("array<bigint>").alias("_cuts"))
+    df = df.crossJoin(F.broadcast(cuts))
+    # how many quantiles are not above the id, by halving
+    found = F.aggregate(
+        F.array(*(F.lit(1 << k) for k in reversed(range(CELL_BITS)))),
+        F.lit(0),
+        lambda below, step: below + F.when(F.get("_cuts", below + step - 1) <= F.col(id_col), step).otherwise(0),
+    )
     # nulls come last in descending order: below every id
-    cell = F.coalesce(F.floor((F.col(id_col) - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("int")
+    df = df.withColumn("_cell", F.when(F.col(id_col).isNull(), -1).otherwise(found)).drop("_cuts")
+    cell = F.col("_cell")
     by_cell = df.groupBy(cell.alias("_cell")).agg(F.sum(size).alias("b"), F.max(id_col).alias("top"), F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("_cell")  # over at most ID_CELLS + 1 rows
+    order = Window.orderBy("_cell")  # over at most 2**CELL_BITS + 1 rows
     raw = by_cell.withColumn("raw", F.floor(F.sum("b").over(order) / BUCKET_BYTES))
     dense = raw.withColumn("_bucket", (F.dense_rank().over(Window.orderBy("raw")) - 1).cast("int"))
     tops = dense.groupBy("_bucket").agg(F.max("_cell").alias("_cell"))
@@ -105,8 +118,7 @@ def with_next(df: DataFrame, id_col: str, size: Column, columns: list[str]) -> D
     )
     is_head = F.col("_at_top") & F.col(id_col).eqNullSafe(F.col("_top"))
     dealt = (
-        df.withColumn("_cell", cell)
-        .join(F.broadcast(map_), "_cell")
+        df.join(F.broadcast(map_), "_cell")
         .withColumn(
             "_to",
             F.when(
