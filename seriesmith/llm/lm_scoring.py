@@ -48,7 +48,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Bytes of text scored together at most (a longer text is alone), the power of
 #: two under which texts are told apart by size no further, and words and runs
 #: held before a task sends them on.
-BLOCK_BYTES, LEAST_POWER, WORDS_HELD = 64 << 20, 13, 400_000
+BLOCK_BYTES, LEAST_POWER, WORDS_HELD = 32 << 20, 13, 1_000_000
 #: Words summed up together.
 TOKENS_HELD = 200_000
 #: Words of a run at most, and the chance that a run keeps the class before.
