@@ -43,6 +43,10 @@ VIDEO_ID = r"\[[A-Za-z0-9_-]{11}\]"
 TEMPO_MARK = r"(?i)(?<![A-Za-z0-9])\d{2,3}\s?bpm(?![A-Za-z])"
 KEY_MARK = r"(?<![A-Za-z0-9])(?!Am(?![A-Za-z0-9]))[A-G][#b]?(?:Maj|Min|maj|min|m)(?![A-Za-z0-9])"
 FOLDER_SUFFIX = r"\s*\[\s*\d{2,3}(?:\.\d+)?(?:\s+[A-G][#b]?m?\??\s+\d{1,2}[AB]\??)?\s*\]\s*$"
+# Spellings of a key, by wheel code and by note.
+WHEEL_KEY = r"^(\d{1,2})\s*([ABab])$"
+NOTE_KEY = r"^([A-Ga-g])\s*([#b♯♭]?)\s*([A-Za-z]*)$"
+# Section names.
 SECTION_NAME = r"(?i)^\s*(Intro|Main|Build|Drop|Breakdown|Break|Outro)\b\s*(\d+)?\s*((?-i:[A-Z])\b)?"
 
 
@@ -73,9 +77,7 @@ def _pick(values: list, index: Column) -> Column:
 
 def parse_key(text: Column) -> Column:
     """struct(pc, mode) of "A minor", "F#Maj", "C", "Abm" or a wheel code "6A"; null otherwise."""
-    s = F.trim(text)
-    wheel = r"^(\d{1,2})\s*([ABab])$"
-    note = r"^([A-Ga-g])\s*([#b♯♭]?)\s*([A-Za-z]*)$"
+    s, wheel, note = F.trim(text), WHEEL_KEY, NOTE_KEY
     n = F.regexp_extract(s, wheel, 1)
     number = F.when(n != "", n.cast("int"))
     ring = F.upper(F.regexp_extract(s, wheel, 2))
@@ -149,22 +151,28 @@ def unaccented(names: pd.Series) -> pd.Series:
 
 
 def title_key(name: Column) -> Column:
-    """Title by which duplicates are found: without marks, artist, accents and signs."""
-    s = F.regexp_replace(name, WHEEL_PREFIX, "")
-    for pattern in (VIDEO_ID, TEMPO_MARK, KEY_MARK):
-        s = F.regexp_replace(s, pattern, " ")
-    s = F.when(F.instr(s, " - ") > 0, F.substr(s, F.instr(s, " - ") + F.lit(3))).otherwise(s)
-    s = F.lower(unaccented(s))
-    s = F.regexp_replace(F.regexp_replace(s, "[_-]", " "), r"[^\p{L}\p{N} ]", "")
-    squeezed = F.trim(F.regexp_replace(s, " +", " "))
-    return F.coalesce(F.nullif(squeezed, F.lit("")), F.trim(F.regexp_replace(F.lower(name), r"\s+", " ")))
+    """Title by which duplicates are found: without marks, artist, accents and signs.
 
+    The words of what stands after the artist, lower-case, letters and digits
+    only; a title that has none of these is itself, lower-case.
+    """
+    marks = "|".join((VIDEO_ID, f"(?:{TEMPO_MARK})", KEY_MARK))
+    parts = F.split(F.regexp_replace(F.regexp_replace(name, WHEEL_PREFIX, ""), marks, " "), " - ")
+    song = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, F.size(parts) - 1), " - ")).otherwise(parts[0])
+    plain = F.regexp_replace(F.lower(unaccented(song)), r"[^\p{L}\p{N} _-]", "")
+    words = lambda text, gap: F.array_join(F.filter(F.split(text, gap), lambda w: w != ""), " ")
+    return F.coalesce(F.nullif(words(plain, "[ _-]"), F.lit("")), words(F.lower(name), r"\s"))
 
-def related_titles(a: Column, b: Column) -> Column:
-    """Equal, or the shorter (of two words or more) ends the longer."""
-    short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    return (a == b) | ((F.instr(short, " ") > 0) & long.endswith(F.concat(F.lit(" "), short)))
+
+@F.pandas_udf(StringType())
+def folded(names: pd.Series) -> pd.Series:
+    """Composed (NFC) and case-folded: names that are equal for people. Accents stay. Spark has no function for it."""
+    return names.map(lambda s: None if s is None else unicodedata.normalize("NFC", s).casefold())
+
+
+def digest6(record: Column) -> Column:
+    """Six digits by which equal records are told from others."""
+    return F.substring(F.md5(F.to_json(record).cast("binary")), 1, 6)
 
 
 def joined_path(*parts: Column) -> Column:
@@ -214,7 +222,7 @@ def bar_edges(bars: Column, seconds: Column, rate: Column, first: Column) -> Col
 def phase_verdict(confidence: Column, ceiling: float, chance: float = 0.25) -> Column:
     """Confidence rescaled from chance to its detector's ceiling: chance-level, weak or ok."""
     scaled = (confidence - chance) / (ceiling - chance)
-    return F.when(scaled < 0.15, "chance-level").when(scaled < 0.5, "weak").otherwise("ok")
+    return F.when(scaled < 0.1, "chance-level").when(scaled < 0.35, "weak").otherwise("ok")
 
 
 def pattern_line(shares: Column) -> Column:

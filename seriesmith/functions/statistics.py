@@ -22,15 +22,39 @@ def poisson_binomial_tail(probs: Column, k: Column) -> Column:
     return F.when(k <= 0, 1.0).otherwise(F.aggregate(upper, F.lit(0.0), lambda a, x: a + x))
 
 
-def binomial_tail(n: Column, k: Column, p: float) -> Column:
-    """P(at least k of n) at chance ``p``."""
-    return poisson_binomial_tail(F.array_repeat(F.lit(float(p)), n.cast("int")), k)
+def binomial_tail(n: Column, k: Column, p: float | Column) -> Column:
+    """P(at least k of n) at chance ``p``.
+
+    Term by term away from the mean, each from the one before, the first in
+    logarithms: above the mean the upper terms are summed, else the lower ones
+    are taken from one. Nothing grows with n but the number of terms.
+    """
+    p = p if isinstance(p, Column) else F.lit(float(p))
+    q, n, k = 1 - p, n.cast("long"), k.cast("long")
+    upper = k > n * p
+    at = F.greatest(F.when(upper, k).otherwise(k - 1), F.lit(0).cast("long"))
+    ways = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(at, F.lit(1))), F.lit(0.0), lambda a, j: a + F.log((n - at + j) / j))
+    first = F.exp(F.when(at > 0, ways).otherwise(0.0) + at * F.log(p) + (n - at) * F.log(q))
+    up = lambda a, i: a["term"] * (n - i) / (i + 1) * p / q
+    down = lambda a, i: a["term"] * i / (n - i + 1) * q / p
+
+    def add(step):
+        def one(a: Column, i: Column) -> Column:
+            term = step(a, i)
+            return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+        return one
+
+    none, start = F.array().cast("array<bigint>"), F.struct(first.alias("term"), first.alias("sum"))
+    above = F.aggregate(F.when(at < n, F.sequence(at, n - 1)).otherwise(none), start, add(up), lambda a: a["sum"])
+    below = F.aggregate(F.when(at > 0, F.sequence(at, F.lit(1).cast("long"))).otherwise(none), start, add(down), lambda a: a["sum"])
+    tail = F.greatest(F.least(F.when(upper, above).otherwise(1.0 - below), F.lit(1.0)), F.lit(0.0))
+    return F.when(k <= 0, 1.0).when((k > n) | (p <= 0), 0.0).when(p >= 1, 1.0).otherwise(tail)
 
 
-def upper_median(x: Column) -> Column:
-    """Aggregate: the middle value, of two the larger."""
-    values = F.array_sort(F.collect_list(x))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def upper_median(x: str) -> Column:
+    """Aggregate: the middle value of a column, of two the larger."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{x}` DESC)")
 
 
 def comb_phase(t: Column, period: Column) -> tuple[Column, Column]:
@@ -110,10 +134,10 @@ def model_summary(df: DataFrame, model: str, track: str, value: str) -> DataFram
     A track is won by the model with the smallest upper median there (of
     equals the first by name).
     """
-    by_track = df.groupBy(model, track).agg((F.max(value) - F.min(value)).alias("range"), upper_median(F.col(value)).alias("mid"))
+    by_track = df.groupBy(model, track).agg((F.max(value) - F.min(value)).alias("range"), upper_median(value).alias("mid"))
     widest = by_track.groupBy(model).agg(F.max(F.struct("range", track)).alias("w"))
     won = by_track.groupBy(track).agg(F.min(F.struct("mid", model)).alias("b")).groupBy(F.col(f"b.{model}").alias(model)).agg(F.count(F.lit(1)).alias("won"))
-    total = df.groupBy(model).agg(upper_median(F.col(value)).alias("mid"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    total = df.groupBy(model).agg(upper_median(value).cast(df.schema[value].dataType).alias("mid"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
     return total.join(widest, model).join(won, model, "left").select(
         model, "mid", "mean", "low", "high", F.col("w.range").alias("widest_range"), F.col(f"w.{track}").alias("widest_track"), F.coalesce("won", F.lit(0)).alias("won")
     )

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.naming import folded
+
+#: Letters of the pieces by which a part of a title is looked up.
+PIECE = 3
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The columns of each key's last row by ``order``; one partial aggregate, no sort."""
@@ -110,9 +115,8 @@ def multiset_difference(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def collisions(df: DataFrame, name: str) -> DataFrame:
-    """Rows whose folded name occurs more than once."""
-    folded = F.lower(F.col(name))
-    return df.withColumn("_f", folded).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_f"))).filter("_n > 1").drop("_f", "_n")
+    """Rows whose name occurs more than once, whatever its case and Unicode form."""
+    return df.withColumn("_f", folded(F.col(name))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_f"))).filter("_n > 1").drop("_f", "_n")
 
 
 def preferred(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -123,16 +127,24 @@ def preferred(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def resolve(names: DataFrame, catalogue: DataFrame, name: str, title: str) -> DataFrame:
     """Catalogue rows a name stands for: name, title, matches.
 
-    An equal folded title is a match; only names without one are looked for
-    inside titles, each against all of them: ``names`` is a list that someone
-    asks for, not a table that grows. More than one match is an ambiguity for
-    the caller.
+    A title equal to the name, whatever its case and Unicode form, is a match;
+    only names without one are looked for inside titles. A name meets the
+    titles that have the rarest of its three-letter pieces; a name of fewer
+    letters, which has none, meets the pieces that it is part of. More than
+    one match is an ambiguity for the caller.
     """
-    asked = names.select(F.col(name).alias("name"), F.lower(name).alias("_k")).distinct()
-    known = catalogue.select(F.col(title).alias("title"), F.lower(title).alias("_t"))
+    asked = names.select(F.col(name).alias("name")).distinct().withColumn("_k", folded(F.col("name")))
+    known = catalogue.select(F.col(title).alias("title"), folded(F.col(title)).alias("_t"))
     exact = asked.join(known, F.col("_k") == F.col("_t"))
-    loose = asked.join(exact.select("_k"), "_k", "left_anti").join(known, F.col("_t").contains(F.col("_k")))
-    found = exact.select("name", "title").unionByName(loose.select("name", "title"))
+    pieces = lambda s, n: F.array_distinct(F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n)))).otherwise(F.array(s)))
+    open_ = asked.join(exact.select("_k").distinct(), "_k", "left_anti")
+    inside = known.select("title", "_t", F.explode(pieces(F.col("_t"), PIECE)).alias("_p"))
+    common = inside.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = open_.filter(F.length("_k") >= PIECE).select("name", "_k", F.explode(pieces(F.col("_k"), PIECE)).alias("_p")).join(common, "_p")
+    rarest = wanted.groupBy("name", "_k").agg(F.min(F.struct("_n", "_p"))["_p"].alias("_p"))
+    short = open_.filter(F.length("_k") < PIECE).join(F.broadcast(common.select("_p")), F.col("_p").contains(F.col("_k"))).select("name", "_k", "_p")
+    loose = rarest.unionByName(short).join(inside, "_p").filter(F.col("_t").contains(F.col("_k"))).select("name", "title").distinct()
+    found = exact.select("name", "title").unionByName(loose)
     return found.withColumn("matches", F.count(F.lit(1)).over(Window.partitionBy("name")))
 
 

@@ -76,7 +76,7 @@ def scalar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         nm.segment_count(F.col("p_size") * 40).alias("segments"),
         letter(F.col("p_size") - 1).alias("letter"),
         nm.energy_level(F.col("p_retailprice") / 5000, F.lit(0.0)).alias("energy"),
-        nm.phase_verdict(F.col("p_size") / 50, 0.75).alias("verdict"),
+        nm.phase_verdict(F.col("p_size") / 50, 0.7).alias("verdict"),
         nm.extent(F.col("p_size") % 2 == 0, F.lit(1.0), F.col("p_size").cast("double"), F.lit(8.0), F.col("p_size").cast("double")).alias("beats"),
     )
 
@@ -141,8 +141,7 @@ def file_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    listed = o.filter(F.col("o_orderkey") % 3 == 0).select("o_custkey")
+    listed = table(spark, sf_dir, "orders").select("o_custkey")
     present = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
     return rec.check_listed(listed, present, "o_custkey")
 
@@ -159,7 +158,7 @@ def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.range(0, 40).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("Customer#00000"), F.lpad(F.col("id").cast("string"), 4, "0"))).otherwise(F.concat(F.lit("#00000"), F.lpad(F.col("id").cast("string"), 3, "0"))).alias("q"))
-    return rec.resolve(asked, table(spark, sf_dir, "customer").filter("c_custkey < 400"), "q", "c_name")
+    return rec.resolve(asked, table(spark, sf_dir, "customer"), "q", "c_name")
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +241,7 @@ ORACLES = {
     "scalar_grid": """SELECT p_partkey, CAST(((CAST(round_even((p_retailprice / 100 - 0.1) / 0.48, 0) AS BIGINT) % 4) + 4) % 4 AS INT) AS phase, CAST(greatest(4, least(32, round_even(p_size * 40 / 32.0 / 1.6, 0))) AS INT) AS segments,
         CASE WHEN p_size <= 26 THEN chr(64 + p_size) ELSE chr(CAST(64 + floor((p_size - 1) / 26) AS INT)) || chr(65 + (p_size - 1) % 26) END AS letter,
         round(127 * least(1, greatest(0, (10 * log10(p_retailprice / 5000 + 1e-12) + 40) / 40)), 2) AS energy,
-        CASE WHEN (p_size / 50 - 0.25) / 0.5 < 0.15 THEN 'chance-level' WHEN (p_size / 50 - 0.25) / 0.5 < 0.5 THEN 'weak' ELSE 'ok' END AS verdict,
+        CASE WHEN (p_size / 50 - 0.25) / (0.7 - 0.25) < 0.1 THEN 'chance-level' WHEN (p_size / 50 - 0.25) / (0.7 - 0.25) < 0.35 THEN 'weak' ELSE 'ok' END AS verdict,
         CAST(greatest(CASE WHEN p_size % 2 = 0 THEN p_size - 1.0 ELSE p_size - 8.0 END, 0) AS DOUBLE) AS beats FROM part""",
     "bar_lines": "SELECT s_suppkey, CAST(round_even((0.25 + i * 1.935) * 22050, 0) AS BIGINT) AS sample FROM (SELECT s_suppkey, unnest(range(0, s_nationkey + 2)) AS i FROM supplier)",
     "even_windows": "SELECT p_partkey, CAST(i AS INT) AS i, round(0.1 * p_retailprice / 10 + greatest(0.8 * p_retailprice / 10 - 12, 0) * i / 4, 5) AS at FROM part, range(0, 5) r(i)".replace("AS at", 'AS "at"'),
@@ -260,14 +259,16 @@ ORACLES = {
         SELECT track, item, yardstick, CASE WHEN r IS NOT NULL AND o IS NOT NULL THEN 'both' WHEN r IS NOT NULL THEN 'reference_only' ELSE 'ours_only' END AS kind, round(r, 4) AS reference_db, round(o, 4) AS ours_db,
             round(d, 4) AS difference, coalesce(abs(d) > 0.2, false) AS gap FROM d""",
     "agreements": f"WITH {BARS} SELECT a.track AS a, b.track AS b, round(avg(CAST(a.playing = b.playing AS INT)), 6) AS agreement FROM bars a JOIN bars b ON a.track < b.track AND a.bar = b.bar AND a.stem = b.stem GROUP BY ALL",
-    "manifest_problems": """WITH a AS (SELECT o_custkey, count(*) AS a FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), b AS (SELECT c_custkey AS o_custkey, count(*) AS b FROM customer GROUP BY 1),
+    "manifest_problems": """WITH a AS (SELECT o_custkey, count(*) AS a FROM orders GROUP BY 1), b AS (SELECT c_custkey AS o_custkey, count(*) AS b FROM customer GROUP BY 1),
         j AS (SELECT o_custkey, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'unlisted' WHEN a > 1 THEN 'duplicate' END AS problem FROM a FULL JOIN b USING (o_custkey)) SELECT * FROM j WHERE problem IS NOT NULL""",
     "listing_difference": """WITH d AS (SELECT l_partkey % 50 AS p, l_suppkey % 10 AS s, CAST(sum(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) AS BIGINT) AS d FROM lineitem GROUP BY ALL)
         SELECT p, s, CASE WHEN d > 0 THEN 'before' ELSE 'after' END AS side, abs(d) AS copies FROM d WHERE d <> 0""",
     "name_collisions": "SELECT p_partkey, name FROM (SELECT p_partkey, p_name || ' ' || p_brand AS name, count(*) OVER (PARTITION BY lower(p_name || ' ' || p_brand)) AS n FROM part) WHERE n > 1",
-    "resolved_names": """WITH q AS (SELECT DISTINCT CASE WHEN i % 2 = 0 THEN 'Customer#00000' || lpad(CAST(i AS VARCHAR), 4, '0') ELSE '#00000' || lpad(CAST(i AS VARCHAR), 3, '0') END AS name FROM range(0, 40) r(i)), c AS (SELECT c_name FROM customer WHERE c_custkey < 400),
+    "resolved_names": """WITH q AS (SELECT DISTINCT CASE WHEN i % 2 = 0 THEN 'Customer#00000' || lpad(CAST(i AS VARCHAR), 4, '0') ELSE '#00000' || lpad(CAST(i AS VARCHAR), 3, '0') END AS name FROM range(0, 40) r(i)), c AS (SELECT c_name FROM customer),
         e AS (SELECT name, c_name AS title FROM q JOIN c ON lower(name) = lower(c_name)), l AS (SELECT name, c_name AS title FROM q JOIN c ON contains(lower(c_name), lower(name)) WHERE name NOT IN (SELECT name FROM e)), a AS (SELECT * FROM e UNION ALL SELECT * FROM l)
         SELECT name, title, count(*) OVER (PARTITION BY name) AS matches FROM a""",
+    "checksums16": """WITH b AS (SELECT p_partkey, list_transform(range(1, len(p_name) + 1), lambda i: CAST(ascii(substr(p_name, CAST(i AS INT), 1)) AS BIGINT)) AS b FROM part)
+        SELECT p_partkey, CAST(list_reduce(list_concat([0::BIGINT], b), lambda c, x: list_reduce([xor(c, x << 8), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: (CASE WHEN (s & 32768) <> 0 THEN xor(s << 1, 32773) ELSE s << 1 END) & 65535)) AS INT) AS crc FROM b""",
     "decisions": """WITH d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '8A' END AS a, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS b, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS c FROM orders)
         SELECT o_orderkey, coalesce(a, b, c) AS value, CASE WHEN a IS NOT NULL THEN 'decision' WHEN b IS NOT NULL THEN 'published' WHEN c IS NOT NULL THEN 'detected' END AS source FROM d""",
     "file_classes": """WITH f AS (SELECT p_partkey, p_brand || ['/stems', '/mix', '/../x'][p_size % 3 + 1] AS folder, p_partkey % 17 = 0 AS conflict, ['wav', 'aif', 'txt', 'mp3'][CAST(p_partkey % 4 AS INT) + 1] AS ext FROM part),

@@ -11,12 +11,12 @@ from .tables import BARS, bars, table
 
 
 def clip_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = table(spark, sf_dir, "part").filter("p_partkey < 300").select("p_partkey", F.col("p_size").cast("double").alias("len"))
+    clips = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("len"))
     return parts.passes(clips, ["p_partkey"], "len", 64.0)
 
 
 def sounding_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = table(spark, sf_dir, "lineitem").filter("l_partkey < 300").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("at"), (F.col("l_tax") * 100).alias("dur"))
+    notes = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("at"), (F.col("l_tax") * 100).alias("dur"))
     made = parts.sounding(clip_passes(spark, sf_dir), notes, ["p_partkey"], "at", "dur")
     return made.select("p_partkey", "l_orderkey", "l_linenumber", "pass", F.round("note_start", 4).alias("note_start"), F.round("note_stop", 4).alias("note_stop"))
 
@@ -62,8 +62,7 @@ def onset_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tonal_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = bars(spark, sf_dir).groupBy("track", "bar").pivot("stem", ["click", "error", "purchase", "signup", "view"]).agg(F.sum("power"))
-    kept = wide.filter("bar % 7 <> 3")
-    return parts.vector_change(kept, ["click", "error", "purchase", "signup", "view"], ["track"], "bar").select("track", "bar", F.round("change", 5).alias("change"))
+    return parts.vector_change(wide, ["click", "error", "purchase", "signup", "view"], ["track"], "bar").select("track", "bar", F.round("change", 5).alias("change"))
 
 
 def envelope_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +71,7 @@ def envelope_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").filter("p_partkey < 600")
+    part = table(spark, sf_dir, "part")
     key = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", F.lower("p_type"), "p_name")).otherwise(F.col("p_name"))
     items = part.select("p_partkey", key.alias("k"), (F.col("p_partkey") % 90 == 0).alias("done"))
     block = F.substring_index(F.col("k"), " ", -2)
@@ -80,7 +79,7 @@ def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assigned_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = table(spark, sf_dir, "lineitem").filter("l_orderkey < 400").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"), (F.col("l_suppkey") % 8).alias("pitch"))
+    clips = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("k"), (F.col("l_suppkey") % 8).alias("pitch"))
     pads = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 8).cast("long").alias("pitch"), F.when(F.col("p_size") % 3 == 0, F.lit("Snare")).otherwise(F.col("p_name")).alias("pad"))
     made = parts.voices(clips, pads, ["k"], "pitch", keyword_role(F.col("pad")), ["snare"])
     return made.select("l_orderkey", "l_linenumber", "role")
@@ -89,7 +88,7 @@ def assigned_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by last status, and those never attempted."""
     last = records.latest(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type"])
-    jobs = table(spark, sf_dir, "customer").filter("c_custkey < 200").select(F.col("c_custkey").alias("user_id"))
+    jobs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
     return jobs.join(last, "user_id", "left").groupBy(F.coalesce("event_type", F.lit("not attempted")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -98,7 +97,7 @@ def layer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     has = lambda k: F.bool_or(F.col("event_type") == k)
     first = lambda k: F.min(F.when(F.col("event_type") == k, F.col("event_id")))
-    return e.filter("event_id % 5 = 0").groupBy("user_id").agg(has("view").alias("aligned"), has("click").alias("marked"), has("error").alias("sectioned"), F.coalesce(first("view"), first("click"), first("error")).alias("source"))
+    return e.groupBy("user_id").agg(has("view").alias("aligned"), has("click").alias("marked"), has("error").alias("sectioned"), F.coalesce(first("view"), first("click"), first("error")).alias("source"))
 
 
 def valid_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +117,7 @@ _LEVELS = BARS + """, sl AS (SELECT track, stem, CAST(floor(bar / 8) AS BIGINT)
     lev AS (SELECT track, stem, section, round(CASE WHEN max(r) OVER w > 0 THEN r / max(r) OVER w ELSE 0 END, 5) AS level FROM sl WINDOW w AS (PARTITION BY track, stem))"""
 _WIN = BARS + ", h AS (SELECT track, stem, CAST(floor(bar / 16) AS BIGINT) AS win, bar % 16 AS step, power, playing FROM bars)"
 _STEMS = ("click", "error", "purchase", "signup", "view")
-_PASSES = "ps AS (SELECT p_partkey, CAST(i AS INT) AS pass, i * CAST(p_size AS DOUBLE) AS start, least((i + 1) * CAST(p_size AS DOUBLE), 64) AS stop FROM part, range(0, 64) r(i) WHERE p_partkey < 300 AND p_size > 0 AND i * p_size < 64)"
+_PASSES = "ps AS (SELECT p_partkey, CAST(i AS INT) AS pass, i * CAST(p_size AS DOUBLE) AS start, least((i + 1) * CAST(p_size AS DOUBLE), 64) AS stop FROM part, range(0, 64) r(i) WHERE p_size > 0 AND i * p_size < 64)"
 ORACLES = {
     "clip_passes": f'WITH {_PASSES} SELECT p_partkey, pass, start AS "start", stop AS "stop" FROM ps',
     "sounding_notes": f"""WITH {_PASSES} SELECT p_partkey, l_orderkey, l_linenumber, pass, round(start + l_quantity, 4) AS note_start, round(least(start + l_quantity + l_tax * 100, stop), 4) AS note_stop
@@ -142,16 +141,23 @@ ORACLES = {
         r AS (SELECT *, row_number() OVER o AS r, score - lead(score) OVER o AS margin FROM s WINDOW o AS (PARTITION BY event_type ORDER BY score DESC, tonic DESC, mode DESC))
         SELECT event_type, CAST(tonic AS INT) AS pc, mode, round(score, 5) AS score, round(margin, 5) AS margin FROM r WHERE r = 1""",
     "onset_flux": f"WITH {BARS} SELECT track, stem, bar, greatest(power - lag(power, 1, 0) OVER (PARTITION BY track, stem ORDER BY bar), 0) AS flux FROM bars",
-    "tonal_change": f"""WITH {BARS}, v AS (SELECT track, bar, {", ".join(f"sum(power) FILTER (WHERE stem = '{s}') AS {s}" for s in _STEMS)} FROM bars WHERE bar % 7 <> 3 GROUP BY ALL),
+    "tonal_change": f"""WITH {BARS}, v AS (SELECT track, bar, {", ".join(f"sum(power) FILTER (WHERE stem = '{s}') AS {s}" for s in _STEMS)} FROM bars GROUP BY ALL),
         m AS (SELECT track, bar, {", ".join(f"avg({s}) OVER p AS a{s}, avg({s}) OVER q AS b{s}" for s in _STEMS)}, count(*) OVER p AS n, count(*) OVER q AS k FROM v
             WINDOW p AS (PARTITION BY track ORDER BY bar RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY track ORDER BY bar RANGE BETWEEN CURRENT ROW AND 3 FOLLOWING))
         SELECT track, bar, CASE WHEN n >= 3 AND k >= 3 THEN round(1 - ({" + ".join(f"a{s} * b{s}" for s in _STEMS)}) / nullif(sqrt(({" + ".join(f"a{s} * a{s}" for s in _STEMS)}) * ({" + ".join(f"b{s} * b{s}" for s in _STEMS)})), 0), 5) END AS change FROM m""",
     "envelope_tempo": f"""WITH {BARS}, s AS (SELECT track, stem, bpm, CAST(floor(bar % CAST(60.0 / bpm AS DOUBLE)) AS BIGINT) AS ph, round(avg(power), 9) AS score FROM bars, (VALUES (6.0), (7.5), (10.0), (12.0), (15.0)) t(bpm) GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY track, stem ORDER BY score DESC, bpm) AS r FROM s) SELECT track, stem, CAST(bpm AS DOUBLE) AS bpm, round(score, 3) AS score FROM r WHERE r = 1""",
-    "assigned_voices": """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey AS k, l_suppkey % 8 AS pitch FROM lineitem WHERE l_orderkey < 400),
+    "assigned_voices": """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey AS k, l_suppkey % 8 AS pitch FROM lineitem),
         p AS (SELECT p_partkey AS k, p_size % 8 AS pitch, CASE WHEN p_size % 3 = 0 THEN 'snare' END AS role FROM part), j AS (SELECT l_orderkey, l_linenumber, coalesce(role, 'unmapped') AS role FROM c LEFT JOIN p USING (k, pitch)) SELECT * FROM j WHERE role <> 'snare'""",
-    "job_report": """WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t FROM events GROUP BY 1) SELECT coalesce(t, 'not attempted') AS status, count(*) AS n FROM customer LEFT JOIN l ON user_id = c_custkey WHERE c_custkey < 200 GROUP BY 1""",
+    "job_report": """WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t FROM events GROUP BY 1) SELECT coalesce(t, 'not attempted') AS status, count(*) AS n FROM customer LEFT JOIN l ON user_id = c_custkey GROUP BY 1""",
     "layer_flags": """SELECT user_id, bool_or(event_type = 'view') AS aligned, bool_or(event_type = 'click') AS marked, bool_or(event_type = 'error') AS sectioned,
-        coalesce(min(event_id) FILTER (WHERE event_type = 'view'), min(event_id) FILTER (WHERE event_type = 'click'), min(event_id) FILTER (WHERE event_type = 'error')) AS source FROM events WHERE event_id % 5 = 0 GROUP BY 1""",
+        coalesce(min(event_id) FILTER (WHERE event_type = 'view'), min(event_id) FILTER (WHERE event_type = 'click'), min(event_id) FILTER (WHERE event_type = 'error')) AS source FROM events GROUP BY 1""",
+    "duplicate_titles": """WITH i AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) || ' ' || p_name ELSE p_name END AS k, p_partkey % 90 = 0 AS done FROM part),
+        b AS (SELECT array_to_string(string_split(k, ' ')[-2:], ' ') AS b, list(k ORDER BY p_partkey) AS ks FROM i GROUP BY 1),
+        h AS (SELECT b, list_reduce(list_transform(ks, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda g: g = x[1] OR (len(g) < len(x[1]) AND contains(g, ' ') AND ends_with(x[1], ' ' || g)) OR (len(x[1]) < len(g) AND contains(x[1], ' ') AND ends_with(g, ' ' || x[1])))) > 0
+            THEN acc ELSE list_concat(acc, x) END) AS heads FROM b),
+        o AS (SELECT p_partkey, done, b, list_filter(heads, lambda g: g = k OR (len(g) < len(k) AND contains(g, ' ') AND ends_with(k, ' ' || g)) OR (len(k) < len(g) AND contains(k, ' ') AND ends_with(g, ' ' || k)))[1] AS group_key
+            FROM i JOIN h ON b = array_to_string(string_split(k, ' ')[-2:], ' '))
+        SELECT p_partkey, group_key, CASE WHEN bool_or(done) OVER w THEN 'processed' WHEN p_partkey = min(p_partkey) OVER w THEN 'kept' ELSE 'duplicate' END AS status FROM o WINDOW w AS (PARTITION BY b, group_key)""",
     "valid_activity": f"WITH {BARS} SELECT track, track % 4 NOT IN (1, 2) AS valid FROM bars GROUP BY track",
 }

@@ -74,7 +74,7 @@ def coincidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chance_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P of so many active bars or more at a chance of 0.5, by series."""
-    by = bars(spark, sf_dir).filter("bar < 12").groupBy("track", "stem").agg(F.count(F.lit(1)).alias("n"), F.count_if("on").alias("k"))
+    by = bars(spark, sf_dir).groupBy("track", "stem").agg(F.count(F.lit(1)).alias("n"), F.count_if("on").alias("k"))
     return by.select("track", "stem", F.round(st.binomial_tail(F.col("n"), F.col("k"), 0.5), 9).alias("p"))
 
 
@@ -176,12 +176,21 @@ QUERIES = {f.__name__: f for f in (
     population_ranges, model_summary,
 )}
 
+#: Two pointers a user: earliest click and view left; l and r where they match.
+_MATCHED = _CV + """, a AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM c), b AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS j FROM v),
+    s(user_id, i, j, l, r) AS (SELECT DISTINCT user_id, CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM a UNION ALL
+        SELECT s.user_id, CASE WHEN b.t < a.t - 43200 THEN s.i ELSE s.i + 1 END, CASE WHEN b.t <= a.t + 43200 THEN s.j + 1 ELSE s.j END,
+            CASE WHEN abs(b.t - a.t) <= 43200 THEN a.t END, CASE WHEN abs(b.t - a.t) <= 43200 THEN b.t END FROM s JOIN a ON a.user_id = s.user_id AND a.i = s.i JOIN b ON b.user_id = s.user_id AND b.j = s.j)"""
 _EXISTS = "EXISTS (SELECT 1 FROM v WHERE v.user_id = c.user_id AND abs(v.t - c.t) <= 21600)"
 ORACLES = {
     "near_points": f"WITH {_CV} SELECT user_id, event_id FROM c WHERE {_EXISTS}",
     "lone_points": f"WITH {_CV} SELECT user_id, event_id FROM c WHERE NOT {_EXISTS}",
     "exclusive_points": f"WITH {_CV}, a AS (SELECT *, NOT {_EXISTS} AS alone FROM c), n AS (SELECT *, count(*) FILTER (WHERE alone) OVER (PARTITION BY user_id) AS n FROM a) SELECT user_id, event_id FROM n WHERE alone OR n < 10",
     "nearest_points": f"WITH {_CV} SELECT c.event_id, arg_min(v.t, (abs(v.t - c.t), v.t)) AS near_t FROM c LEFT JOIN v ON v.user_id = c.user_id AND abs(v.t - c.t) <= 86400 GROUP BY c.event_id",
+    "matched_points": f"""WITH RECURSIVE {_MATCHED} SELECT user_id, l AS left_time, r AS right_time FROM s WHERE l IS NOT NULL""",
+    "match_scores": f"""WITH RECURSIVE {_MATCHED}, h AS (SELECT user_id, count(l) AS hit FROM s GROUP BY 1), x AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS t, count(*) FILTER (WHERE event_type = 'click') AS f FROM p WHERE event_type IN ('click', 'view') GROUP BY 1),
+        y AS (SELECT user_id, CASE WHEN t > 0 THEN coalesce(hit, 0) / t ELSE 0.0 END AS r, CASE WHEN f > 0 THEN coalesce(hit, 0) / f ELSE 0.0 END AS q FROM x LEFT JOIN h USING (user_id))
+        SELECT user_id, round(r, 6) AS recall, round(q, 6) AS precision, round(CASE WHEN r + q > 0 THEN 2 * r * q / (r + q) ELSE 0.0 END, 6) AS f1 FROM y""",
     "interpolated": f"""WITH {_CV}, m AS (SELECT user_id, t, CAST(min(event_id) AS DOUBLE) AS y FROM v GROUP BY ALL),
         s AS (SELECT *, lead(t) OVER w AS t2, lead(y) OVER w AS y2, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id) AS n FROM m WINDOW w AS (PARTITION BY user_id ORDER BY t)),
         q AS (SELECT c.event_id, c.user_id, c.t, greatest(1, least((SELECT count(*) FROM m WHERE m.user_id = c.user_id AND m.t <= c.t), (SELECT count(*) FROM m WHERE m.user_id = c.user_id) - 1)) AS k FROM c)
@@ -190,8 +199,8 @@ ORACLES = {
     "coincidence": f"""WITH {_CV}, m AS (SELECT user_id, count(*) AS m FROM v GROUP BY 1), h AS (SELECT c.*, {_EXISTS} AS hit FROM c)
         SELECT user_id, count(*) AS n, count(*) FILTER (WHERE hit) AS coincident, round(count(*) FILTER (WHERE hit) / count(*), 5) AS rate, round(avg(least(1.0, coalesce(m, 0) * 43200.0 / 2592000.0)), 5) AS expected
         FROM h LEFT JOIN m USING (user_id) GROUP BY user_id""",
-    "chance_tails": f"""WITH {BARS}, k AS (SELECT track, stem, count(*) AS n, count(*) FILTER (WHERE playing) AS k FROM bars WHERE bar < 12 GROUP BY ALL)
-        SELECT track, stem, round((SELECT sum(factorial(CAST(n AS INT)) / (factorial(CAST(i AS INT)) * factorial(CAST(n - i AS INT)))) FROM range(0, 13) r(i) WHERE i >= k AND i <= n) / pow(2, n), 9) AS p FROM k""",
+    "chance_tails": f"""WITH {BARS}, k AS (SELECT track, stem, count(*) AS n, count(*) FILTER (WHERE playing) AS k FROM bars GROUP BY ALL)
+        SELECT track, stem, round(CASE WHEN k <= 0 THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.5) + (n - i) * ln(1 - 0.5))) FROM range(0, 1000) r(i) WHERE i >= k AND i <= n) END, 9) AS p FROM k""",
     "comb_period": f"""WITH {_CV}, r AS (SELECT user_id, h * 3600.0 AS period, round(sqrt(pow(avg(cos(2 * pi() * t / (h * 3600.0))), 2) + pow(avg(sin(2 * pi() * t / (h * 3600.0))), 2)), 9) AS coherence
         FROM c, (VALUES (5), (6), (7), (8), (12), (24)) x(h) GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coherence DESC, period) AS i FROM r)
         SELECT user_id, CAST(period AS DOUBLE) AS period, round(coherence, 6) AS coherence FROM n WHERE i = 1""",

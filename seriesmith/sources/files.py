@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Samples of a block.
-BLOCK = 1 << 19
+#: Samples of a block, and bytes of a file's head.
+BLOCK, HEAD = 1 << 19, 1 << 16
 MANIFEST = "id string, mode string, tree string, rel_dir string, src string, name string, duration_sec string, size string, mtime string, dest string"
 
 
@@ -31,6 +31,61 @@ def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     return rate, x.reshape(-1, channels)
 
 
+def audio_header(data: bytes) -> tuple[int, int, int] | None:
+    """(rate, channels, frames) from the head of a WAV, AIFF or FLAC file; None for any other."""
+    if data[:4] == b"fLaC" and len(data) >= 26:
+        word = int.from_bytes(data[18:26], "big")
+        return word >> 44, (word >> 41 & 7) + 1, word & (1 << 36) - 1
+    if data[:4] == b"RIFF" and data[8:12] == b"WAVE":
+        at, rate, channels, width = 12, 0, 0, 0
+        while at + 8 <= len(data):
+            name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+            if name == b"fmt ":
+                channels, rate, width = int.from_bytes(data[at + 10 : at + 12], "little"), int.from_bytes(data[at + 12 : at + 16], "little"), int.from_bytes(data[at + 20 : at + 22], "little")
+            if name == b"data" and width:
+                return rate, channels, size // width
+            at += 8 + size + size % 2
+    if data[:4] == b"FORM" and data[8:12] in (b"AIFF", b"AIFC"):
+        at = 12
+        while at + 26 <= len(data):
+            size = int.from_bytes(data[at + 4 : at + 8], "big")
+            if data[at : at + 4] == b"COMM":
+                exponent, mantissa = int.from_bytes(data[at + 16 : at + 18], "big"), int.from_bytes(data[at + 18 : at + 26], "big")
+                return int(mantissa * 2.0 ** (exponent - 16383 - 63)), int.from_bytes(data[at + 8 : at + 10], "big"), int.from_bytes(data[at + 10 : at + 14], "big")
+            at += 8 + size + size % 2
+    return None
+
+
+def audio_files(spark: SparkSession, path: str, glob: str = "*.{wav,flac,aif,aiff}") -> DataFrame:
+    """path, stem, ext, rate, channels, frames and seconds of audio files; 0 seconds if unreadable.
+
+    Only files' heads are looked at; no sample is decoded.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    head = files.select("path", F.substring("content", 1, HEAD).alias("head"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [audio_header(bytes(h)) for h in pdf["head"]]
+            for i, c in enumerate(("rate", "channels", "frames")):
+                pdf[c] = pd.array([f and f[i] for f in found], dtype="Int64")
+            yield pdf[["path", "rate", "channels", "frames"]]
+
+    read = head.mapInPandas(run, "path string, rate long, channels long, frames long")
+    return read.select(
+        "path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), "rate", "channels", "frames",
+        F.coalesce(F.try_divide("frames", "rate"), F.lit(0.0)).alias("seconds"),
+    )
+
+
+def preferred_stems(files: DataFrame, prefix: str = "drums_", whole: str = "full") -> DataFrame:
+    """One file for each kind of stem (``<prefix><kind>``), FLAC before WAV, the composite left out: kind, path."""
+    kind = F.regexp_extract("stem", f"^{prefix}(.+)$", 1)
+    own = files.withColumn("kind", kind).filter((F.col("kind") != "") & (F.col("kind") != whole) & F.col("ext").isin("flac", "wav"))
+    best = F.min(F.struct(F.when(F.col("ext") == "flac", 0).otherwise(1).alias("r"), "path"))
+    return own.groupBy("kind").agg(best["path"].alias("path"))
+
+
 def read_audio(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
     """samples(stem, block_ix, start, sr, ch, pcm) of a folder's WAV files, in blocks of mono sums.
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -25,6 +26,17 @@ def gap_sessions(events: DataFrame, ts: str, keys: list[str], gap: str = "30 min
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def run_for(query: StreamingQuery, seconds: float) -> bool:
+    """Wait for a query up to a deadline and stop it then; whether it ended by itself.
+
+    What its last whole trigger wrote stays; a later start goes on from there.
+    """
+    ended = query.awaitTermination(seconds)
+    if not ended:
+        query.stop()
+    return bool(ended)
+
+
 def hysteresis_stream(points: DataFrame, key: str, order: str, value: str, on: float = 0.5, off: float = 0.3) -> DataFrame:
     """Two-threshold state of every key over arriving points; the state is one flag a key.
 
