@@ -247,12 +247,15 @@ def links(nodes: DataFrame, radius: int = RADIUS, part: int = PART, blocks: int
     return found.distinct()
 
 
-def _with_least(rows: DataFrame, key: str, least: DataFrame, heavy: int) -> DataFrame:
+def _with_least(rows: DataFrame, key: str, least: DataFrame, heavy: int | None) -> DataFrame:
     """``rows`` joined with ``least(key, m, n)``, the n rows of each key spread if they are many.
 
     Keys of more than ``heavy`` rows are broadcast: there are at most
-    rows / heavy of them. The others meet their rows in an exchange.
+    rows / heavy of them. The others meet their rows in an exchange, as all
+    do where ``heavy`` is None.
     """
+    if heavy is None:
+        return rows.join(least.select(key, "m"), key)
     hubs = F.broadcast(least.filter(F.col("n") > heavy).select(key, F.col("m").alias("_hub")))
     at = rows.join(hubs, key, "left")
     light = least.filter(F.col("n") <= heavy).select(key, "m")
@@ -268,13 +271,14 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds on edges (a, b) with a < b, each written
     to the shared folder, until nothing changes. A node with very many edges
     is one key of them; such keys are broadcast, at most 2 * HUBS of them.
+    Graphs of HUB_EDGES edges or fewer have none.
     """
     spark, mark = edges.sparkSession, staged_so_far()
     now = stage(edges.select("a", "b").filter("a <> b").distinct(), "components")
     count = now.count()
     if not count:
         return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    heavy, seen = max(HUB_EDGES, count // HUBS), None
+    heavy, seen = max(HUB_EDGES, count // HUBS) if count > HUB_EDGES else None, None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
