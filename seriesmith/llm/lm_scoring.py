@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -413,6 +414,16 @@ def discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
+def packed_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, bytes]:
+    """Sizes of a binary column's values, and the values laid end to end."""
+    sizes, parts = [np.empty(0, np.int64)], []
+    for chunk in column.chunks:
+        at = np.frombuffer(chunk.buffers()[1], np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, np.int64)
+        sizes.append(np.diff(at))
+        parts.append(memoryview(chunk.buffers()[2] or b"")[at[0] : at[-1]])
+    return np.concatenate(sizes), b"".join(parts)
+
+
 def together(batches: Iterator[pa.RecordBatch], rows: int = WORDS_TOGETHER) -> Iterator[pa.RecordBatch]:
     """Batches joined into ones of ``rows`` or more."""
     held, n = [], 0
@@ -569,12 +580,13 @@ def score_documents(
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
         c, w = right.column("c").to_numpy(), right.column("w").to_pylist()
-        s = np.frombuffer(b"".join(right.column("s").to_pylist()), "<f4").reshape(-1, len(live))
-        # a blank begins a run's key and no word; only words have scores
-        rows = [i for i, x in enumerate(w) if x[:1] != b" "]
-        place = {w[i]: n for n, i in enumerate(rows)}
-        told = {int.from_bytes(x[1:], "big", signed=True): int(n) for x, n in zip(w, c) if x[:1] == b" "}
-        c = c[rows]
+        sizes, raw = packed_bytes(right.column("s"))
+        s = np.frombuffer(raw, "<f4").reshape(-1, len(live))
+        # only words have scores; a run's key follows a blank
+        is_word = sizes > 0
+        place = dict(zip(compress(w, is_word.tolist()), range(len(s))))
+        told = {int.from_bytes(w[i][1:], "big", signed=True): int(c[i]) for i in np.flatnonzero(~is_word)}
+        c = c[is_word]
         base, end = np.log10((c + 1) / (tokens + types + 1)), place.get(b"", 0)
         n_tokens, n_known, base_score, score = [], [], [], []
 
