@@ -197,6 +197,22 @@ def sum_sources(samples: DataFrame, keys: list[str], index: str, value: str) ->
     return mixed.withColumn("peak", F.max(F.abs("mix")).over(Window.partitionBy(*keys)))
 
 
+def full_scale(mixed: DataFrame, peak: str, full: float = 1.0) -> DataFrame:
+    """Adds ``refused``: a sum that reaches full scale isn't written."""
+    return mixed.withColumn("refused", F.col(peak) >= full)
+
+
+def unknown_values(listed: DataFrame, column: str, known: list[str]) -> DataFrame:
+    """Values of a column that are none of the known, with the rows that have them: column, rows."""
+    return listed.filter(F.col(column).isNotNull() & ~F.col(column).isin(*known)).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def roots_read(found: DataFrame, roots: DataFrame, root: str, error: str) -> DataFrame:
+    """Every root with the studies found in it, or the error that it gave: root, studies, error."""
+    n = found.groupBy(root).agg(F.count(F.lit(1)).alias("studies"))
+    return roots.select(root, error).join(n, root, "left").select(root, F.when(F.col(error).isNull(), F.coalesce("studies", F.lit(0))).alias("studies"), F.col(error).alias("error"))
+
+
 def residual(mix: DataFrame, stems: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
     """What the sum of the stems leaves of the mix: keys, n, peak, relative level in dB."""
     total = stems.groupBy(*keys, index).agg(F.sum(value).alias("_s"))

@@ -204,6 +204,16 @@ def decode_activity(df: DataFrame, bits: str, keys: list[str], first: str) -> Da
     return each.select(*keys, (F.col("_first") + F.col("_i")).alias("order"), (F.col("_b") == "1").alias("flag"))
 
 
+def valid_activity(bits: Column, length: Column) -> Column:
+    """Whether a map's strings are all of one length and of 0 and 1 only."""
+    return F.forall(F.map_values(bits), lambda s: (F.length(s) == length) & s.rlike("^[01]*$"))
+
+
+def unmapped(bits: Column, roles: dict[str, str]) -> Column:
+    """Names of a map that stand for no role, in order."""
+    return F.array_sort(F.filter(F.map_keys(bits), lambda k: ~k.isin(*roles)))
+
+
 def numbered(df: DataFrame, name: str, keys: list[str], order: str, out: str = "label") -> DataFrame:
     """Number names that occur more than once in a series, in order, from 1."""
     by = Window.partitionBy(*keys, name)

@@ -107,6 +107,17 @@ def uniform_format(files: DataFrame, keys: list[str], columns: list[str]) -> Dat
     return made.withColumn("uniform", F.col("formats") == 1)
 
 
+def format_problems(files: DataFrame, keys: list[str], columns: list[str], bars: str, declared: str, within: float = 0.01) -> DataFrame:
+    """What keeps a key's files from being one pack: keys, problem; fine keys give no row.
+
+    Formats must be equal, and every file's bars within ``within`` of the
+    number that is declared.
+    """
+    made = files.groupBy(*keys).agg(F.countDistinct(F.struct(*columns)).alias("_f"), F.max(F.abs(F.col(bars) - F.col(declared))).alias("_d"))
+    problem = F.concat_ws("; ", F.when(F.col("_f") > 1, F.concat(F.col("_f").cast("string"), F.lit(" formats"))), F.when(F.col("_d") > within, "other bars than declared"))
+    return made.select(*keys, problem.alias("problem")).filter("problem <> ''")
+
+
 def owned(hits: DataFrame, sections: DataFrame, keys: list[str], time: str, early: float = 0.020) -> DataFrame:
     """Hits that belong to the section they were cut for.
 

@@ -185,6 +185,22 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.sum_sources(bars(spark, sf_dir), ["track"], "bar", "power").select("track", "bar", "mix", "peak")
 
 
+def refused_mixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = rec.sum_sources(bars(spark, sf_dir), ["track"], "bar", "power")
+    return rec.full_scale(mixed, "peak", 300000).select("track", "bar", "refused")
+
+
+def unknown_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec.unknown_values(table(spark, sf_dir, "events"), "event_type", ["click", "view", "purchase"])
+
+
+def roots_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as roots, customers as the studies found; some nations can't be read."""
+    roots = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("root"), F.when(F.col("n_regionkey") == 2, F.concat(F.lit("no folder "), F.col("n_name"))).alias("why"))
+    found = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("root"))
+    return rec.roots_read(found, roots, "root", "why")
+
+
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     mix = b.groupBy("track", "bar").agg(F.sum("power").alias("power"))
@@ -207,7 +223,7 @@ def cached_and_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     role_keywords, section_names, parsed_keys, key_relations, folder_names, title_keys, slug_ids, folded_tempi, checksums16, scalar_grid, bar_lines, even_windows,
     pattern_lines, presences, last_status, compared_sides, agreements, distinct_studies, file_freshness, manifest_problems, listing_difference, name_collisions,
-    resolved_names, decisions, file_classes, command_usage, mixed_sources, residuals, preferred_files, cached_and_missing,
+    resolved_names, decisions, file_classes, command_usage, mixed_sources, refused_mixes, unknown_roles, roots_read, residuals, preferred_files, cached_and_missing,
 )}
 
 _L = lambda xs: "[" + ", ".join(repr(x) for x in xs) + "]"
@@ -276,6 +292,9 @@ ORACLES = {
         SELECT p_partkey, CASE WHEN contains(folder, '..') THEN 'unsafe' WHEN conflict THEN 'conflict' WHEN ext = 'txt' THEN 'other' WHEN (contains(folder, 'stems') AND n >= 2) OR (n >= 5 AND 2 * aif >= n) THEN 'pack' ELSE 'candidate' END AS kind FROM n""",
     "command_usage": """SELECT event_type, count(*) AS runs, count(*) FILTER (WHERE event_id % 7 <> 0) AS failures, count(DISTINCT CASE WHEN event_id % 7 = 0 THEN user_id END) AS targets, min(event_id) AS "first", max(event_id) AS "last" FROM events GROUP BY event_type""",
     "mixed_sources": f"WITH {BARS}, m AS (SELECT track, bar, CAST(sum(power) AS BIGINT) AS mix FROM bars GROUP BY ALL) SELECT track, bar, mix, max(abs(mix)) OVER (PARTITION BY track) AS peak FROM m",
+    "refused_mixes": f"WITH {BARS}, m AS (SELECT track, bar, sum(power) AS mix FROM bars GROUP BY ALL) SELECT track, bar, max(abs(mix)) OVER (PARTITION BY track) >= 300000 AS refused FROM m",
+    "unknown_roles": "SELECT event_type, count(*) AS \"rows\" FROM events WHERE event_type NOT IN ('click', 'view', 'purchase') GROUP BY 1",
+    "roots_read": "SELECT n_nationkey AS root, CASE WHEN n_regionkey <> 2 THEN count(c_custkey) END AS studies, CASE WHEN n_regionkey = 2 THEN 'no folder ' || n_name END AS error FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_regionkey, n_name",
     "residuals": f"""WITH {BARS}, m AS (SELECT track, bar, sum(power) AS mix, sum(power) FILTER (WHERE stem <> 'error') AS s FROM bars GROUP BY ALL)
         SELECT track, count(*) AS n, CAST(max(abs(mix - s)) AS BIGINT) AS peak, round(10 * log10(sum(pow(mix - s, 2)) / sum(pow(mix, 2)) + 1e-12), 5) AS relative_db FROM m GROUP BY track""",
     "preferred_files": "SELECT p_name, arg_min(p_partkey, (p_type, p_partkey)) AS p_partkey, arg_min(p_type, (p_type, p_partkey)) AS p_type FROM part GROUP BY p_name",

@@ -104,8 +104,7 @@ def valid_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = seq.activity_string(bars(spark, sf_dir), "on", ["track", "stem"], "bar")
     broken = F.when(F.col("track") % 4 == 1, F.concat("bits", F.lit("x"))).when(F.col("track") % 4 == 2, F.substring("bits", 1, 50)).otherwise(F.col("bits"))
     by = made.withColumn("bits", broken).groupBy("track").agg(F.map_from_entries(F.collect_list(F.struct("stem", "bits"))).alias("m"), F.max("length").alias("n"))
-    valid = F.forall(F.map_values("m"), lambda s: (F.length(s) == F.col("n")) & s.rlike("^[01]*$"))
-    return by.select("track", valid.alias("valid"))
+    return by.select("track", seq.valid_activity(F.col("m"), F.col("n")).alias("valid"), seq.unmapped(F.col("m"), {"click": "kick", "view": "hats"}).alias("unmapped"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -159,5 +158,5 @@ ORACLES = {
         o AS (SELECT p_partkey, done, b, list_filter(heads, lambda g: g = k OR (len(g) < len(k) AND contains(g, ' ') AND ends_with(k, ' ' || g)) OR (len(k) < len(g) AND contains(k, ' ') AND ends_with(g, ' ' || k)))[1] AS group_key
             FROM i JOIN h ON b = array_to_string(string_split(k, ' ')[-2:], ' '))
         SELECT p_partkey, group_key, CASE WHEN bool_or(done) OVER w THEN 'processed' WHEN p_partkey = min(p_partkey) OVER w THEN 'kept' ELSE 'duplicate' END AS status FROM o WINDOW w AS (PARTITION BY b, group_key)""",
-    "valid_activity": f"WITH {BARS} SELECT track, track % 4 NOT IN (1, 2) AS valid FROM bars GROUP BY track",
+    "valid_activity": f"WITH {BARS} SELECT track, track % 4 NOT IN (1, 2) AS valid, list_sort(list(DISTINCT stem) FILTER (WHERE stem NOT IN ('click', 'view'))) AS unmapped FROM bars GROUP BY track",
 }

@@ -71,6 +71,11 @@ def uniform_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sd.uniform_format(table(spark, sf_dir, "part"), ["p_brand"], ["p_type"])
 
 
+def format_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return sd.format_problems(li, ["l_orderkey"], ["l_returnflag", "l_linestatus"], "l_tax", "l_discount", 0.095)
+
+
 def haloed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.lit(0).alias("g"), (F.col("p_retailprice")).alias("t"))
     made = sd.with_halo(p, ["g"], "t", 50.0, 4.0)
@@ -109,7 +114,7 @@ def united_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    block_profiles, warp_maps, broken_maps, equal_shapes, bar_wins, score_matrix, strongest_pairs, paired_sections, inherited_mutes, uniform_formats, haloed_points,
+    block_profiles, warp_maps, broken_maps, equal_shapes, bar_wins, score_matrix, strongest_pairs, paired_sections, inherited_mutes, uniform_formats, format_problems, haloed_points,
     clean_hits, standard_scores, normalised_mix, boundary_votes, united_groups,
 )}
 
@@ -139,6 +144,7 @@ ORACLES = {
     "inherited_mutes": """WITH t AS (SELECT p_partkey AS node, CAST(CASE WHEN p_partkey % 4 <> 0 THEN floor(p_partkey / 4) * 4 ELSE floor(p_partkey / 8) - 1 END AS BIGINT) AS up, p_size > 40 AS m FROM part)
         SELECT a.node, a.m OR coalesce(b.m, false) OR coalesce(c.m, false) OR coalesce(d.m, false) AS muted FROM t a LEFT JOIN t b ON a.up = b.node LEFT JOIN t c ON b.up = c.node LEFT JOIN t d ON c.up = d.node""",
     "uniform_formats": "SELECT p_brand, count(DISTINCT p_type) AS formats, count(DISTINCT p_type) = 1 AS uniform FROM part GROUP BY 1",
+    "format_problems": """WITH f AS (SELECT l_orderkey, count(DISTINCT (l_returnflag, l_linestatus)) AS f, max(abs(l_tax - l_discount)) AS d FROM lineitem GROUP BY 1), p AS (SELECT l_orderkey, concat_ws('; ', CASE WHEN f > 1 THEN f || ' formats' END, CASE WHEN d > 0.095 THEN 'other bars than declared' END) AS problem FROM f) SELECT * FROM p WHERE problem <> ''""",
     "haloed_points": "SELECT p_partkey, CAST(floor((p_retailprice + 2) / 50) AS BIGINT) AS section FROM part",
     "clean_hits": """WITH m AS (SELECT p_brand, median(p_size - 25) AS l, median(p_partkey % 13) AS r FROM part GROUP BY 1), f AS (SELECT p.*, abs(p_size - 25 - l) <= 6 AND p_partkey % 13 >= 0.9 * r AS fine FROM part p JOIN m USING (p_brand)),
         n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN fine THEN 0 ELSE 1 END, CASE WHEN fine THEN -p_retailprice END NULLS LAST, p_partkey) AS n FROM f) SELECT p_brand, p_partkey, fine AS clean FROM n WHERE n = 1""",
