@@ -46,10 +46,11 @@ from ._shared import stage
 from .toxicity import fold_of
 
 FOLDS, HELD_OUT = 7, 2
-#: Bytes of text scored together at most (a longer text is alone), the power of
-#: two under which texts are told apart by size no further, and words and runs
-#: held before a task sends them on.
-BLOCK_BYTES, LEAST_POWER, WORDS_HELD = 32 << 20, 13, 1_000_000
+#: Rows of a file scored together, their bytes of text beyond which they are
+#: dealt to several blocks, and the most such runs of rows that are broadcast.
+BLOCK_ROWS, BLOCK_BYTES, HEAVY_RUNS = 4096, 32 << 20, 1_000_000
+#: Words and runs held before a task sends them on.
+WORDS_HELD = 1_000_000
 #: Words summed up together.
 TOKENS_HELD = 200_000
 #: Words of a run at most, and the chance that a run keeps the class before.
@@ -262,15 +263,24 @@ class Lattice:
 def located(df: DataFrame, text: Column) -> DataFrame:
     """``df`` with _block, a number of rows that are scored together.
 
-    Rows are told apart by the power of two that their bytes of text stay
-    below, and as many neighbours of a file as BLOCK_BYTES has room for are a
-    block. Every reading of the table gives a row the same block, however its
-    files are split. A table that isn't read from files is written first.
+    BLOCK_ROWS neighbours of a file are a block; where their bytes of text
+    exceed BLOCK_BYTES, they are dealt by row to as many blocks as that takes
+    (and fewer rows are taken if there are more than HEAVY_RUNS such places,
+    so that the list of them can be broadcast). Every reading of the table
+    gives a row the same block, however its files are split. A table that
+    isn't read from files is written first.
     """
     def with_block(d: DataFrame) -> DataFrame:
-        power = F.greatest(F.ceil(F.log2(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).cast("int"), F.lit(LEAST_POWER))
-        run = F.floor(F.col("_metadata.row_index") / F.greatest(F.lit(BLOCK_BYTES) / F.pow(F.lit(2.0), power), F.lit(1.0)))
-        return d.select("*", F.xxhash64("_metadata.file_path", power, run).alias("_block"))
+        rows = BLOCK_ROWS
+        while True:
+            placed = d.select("*", F.col("_metadata.row_index").alias("_row"), F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows)).alias("_run"))
+            total = placed.groupBy("_run").agg(F.sum(F.octet_length(text)).alias("_b")).filter(F.col("_b") > BLOCK_BYTES)
+            heavy = stage(total.select("_run", F.ceil(F.col("_b") / BLOCK_BYTES).alias("_parts")), "lm-heavy")
+            if rows == 1 or heavy.count() <= HEAVY_RUNS:
+                break
+            rows = max(1, rows // 4)
+        part = F.pmod("_row", F.coalesce("_parts", F.lit(1)))
+        return placed.join(F.broadcast(heavy), "_run", "left").withColumn("_block", F.xxhash64("_run", part)).drop("_row", "_run", "_parts")
 
     try:
         return with_block(df)

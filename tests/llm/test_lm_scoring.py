@@ -196,14 +196,16 @@ def test_score_edges(spark):
     assert untrained["train_tokens"] == 0 and math.isfinite(untrained["score"])
 
 
-def test_blocks_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 4096)
-    monkeypatch.setattr(lm_scoring, "LEAST_POWER", 8)
+@pytest.mark.parametrize("most", [100, 1])
+def test_blocks_are_bounded_by_bytes(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 30_000)
+    monkeypatch.setattr(lm_scoring, "BLOCK_ROWS", 45)
+    monkeypatch.setattr(lm_scoring, "HEAVY_RUNS", most)
     rows = [(i, "x" * (3000 if i % 3 else 10)) for i in range(90)] + [(100, "y" * 10_000)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "t"))
     docs = spark.read.parquet(str(tmp_path / "t"))
     size = lm_scoring.located(docs, F.col("text")).groupBy("_block").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
-    assert all(r["b"] <= 4096 or r["n"] == 1 for r in size) and sum(r["n"] for r in size) == 91 and len(size) < 80
+    assert all(r["b"] <= 45_000 or r["n"] == 1 for r in size) and sum(r["n"] for r in size) == 91 and 5 < len(size) < 60
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
