@@ -134,16 +134,18 @@ def resolve(names: DataFrame, catalogue: DataFrame, name: str, title: str) -> Da
     one match is an ambiguity for the caller.
     """
     asked = names.select(F.col(name).alias("name")).distinct().withColumn("_k", folded(F.col("name")))
+    # what comes from the catalogue has more rows than the planner thinks: it is merged, never broadcast
     known = catalogue.select(F.col(title).alias("title"), folded(F.col(title)).alias("_t"))
-    exact = asked.join(known, F.col("_k") == F.col("_t"))
+    exact = asked.join(known.hint("merge"), F.col("_k") == F.col("_t"))
     pieces = lambda s, n: F.array_distinct(F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n)))).otherwise(F.array(s)))
-    open_ = asked.join(exact.select("_k").distinct(), "_k", "left_anti")
+    open_ = asked.join(exact.select("_k").distinct().hint("merge"), "_k", "left_anti")
     inside = known.select("title", "_t", F.explode(pieces(F.col("_t"), PIECE)).alias("_p"))
     common = inside.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = open_.filter(F.length("_k") >= PIECE).select("name", "_k", F.explode(pieces(F.col("_k"), PIECE)).alias("_p")).join(common, "_p")
+    wanted = open_.filter(F.length("_k") >= PIECE).select("name", "_k", F.explode(pieces(F.col("_k"), PIECE)).alias("_p")).join(common.hint("merge"), "_p")
     rarest = wanted.groupBy("name", "_k").agg(F.min(F.struct("_n", "_p"))["_p"].alias("_p"))
-    short = open_.filter(F.length("_k") < PIECE).join(F.broadcast(common.select("_p")), F.col("_p").contains(F.col("_k"))).select("name", "_k", "_p")
-    loose = rarest.unionByName(short).join(inside, "_p").filter(F.col("_t").contains(F.col("_k"))).select("name", "title").distinct()
+    within = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *(pieces(F.col("_p"), n) for n in range(1, PIECE))))).alias("_k")
+    short = open_.filter(F.length("_k") < PIECE).join(common.select("_p", within).hint("merge"), "_k").select("name", "_k", "_p")
+    loose = rarest.unionByName(short).join(inside.hint("merge"), "_p").filter(F.col("_t").contains(F.col("_k"))).select("name", "title").distinct()
     found = exact.select("name", "title").unionByName(loose)
     return found.withColumn("matches", F.count(F.lit(1)).over(Window.partitionBy("name")))
 

@@ -168,6 +168,16 @@ def test_parts_of_titles(spark):
     assert rec.collisions(both, "n").count() == 2
 
 
+def test_catalogue_is_never_broadcast(spark):
+    known = spark.range(300).select(F.concat(F.lit("Title number "), F.col("id").cast("string")).alias("title"))
+    asked = spark.createDataFrame([("TITLE NUMBER 7",), ("ber 12",), ("9",), ("",), ("r 2",)], "q string")
+    made = rec.resolve(asked, known, "q", "title")
+    titles = [f"Title number {i}" for i in range(300)]
+    plain = {q: [t for t in titles if t.lower() == q.lower()] or [t for t in titles if q.lower() in t.lower()] for (q,) in asked.collect()}
+    assert sorted(map(tuple, made.collect())) == sorted((q, t, len(found)) for q, found in plain.items() for t in found)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_headers_and_stems(spark, tmp_path):
     with wave.open(str(tmp_path / "drums_kick.wav"), "wb") as w:
         w.setnchannels(2), w.setsampwidth(3), w.setframerate(48000)
