@@ -56,7 +56,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by five-word shingles at similarity 0.8 or more, the smallest id stays."""
+    """Of texts linked by five-word shingles at similarity 0.8 or more, the smallest id stays.
+
+    SimHash proposes links, MinHash those beyond its radius; all are checked exactly.
+    """
     copies = near_copies(docs).filter("node <> component")
     return _without(docs, copies.select(F.col("node").alias("_id"), F.lit(0).alias("_key")).distinct())
 

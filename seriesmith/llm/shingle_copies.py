@@ -1,9 +1,12 @@
 """Near copies by the exact Jaccard similarity of word shingles.
 
-Candidates come from MinHash: BANDS keys of ROWS minima each, so that a pair
-of similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS (0.9999
-at 0.8, more above). Every link is then checked on the shingle sets themselves,
-so a shared key alone removes nothing.
+SimHash comes first: texts whose fingerprints of the same shingles are equal or
+differ in few bits are candidates. A pair of similarity 0.8 differs in some ten
+of 64 bits, so most of these lie beyond any radius that can be searched; MinHash
+adds the candidates that the fingerprints leave: BANDS keys of ROWS minima
+each, so that a pair of similarity s shares a key with probability
+1 - (1 - s**ROWS)**BANDS (0.9999 at 0.8, more above). Every link is then checked
+on the shingle sets themselves, so a fingerprint or key alone removes nothing.
 
 Texts of one key are first compared with a leader of the key, in STARS rounds
 with other leaders; then the texts of keys that still span several components
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import release, stage, staged_so_far
-from .simhash import _LOWER, SEED, components
+from .simhash import _LOWER, RADIUS, SEED, components, fingerprints, links as near_prints
 
 WORDS, LEAST = 5, 0.8
 #: Keys of a text and minima of a key.
@@ -74,6 +77,14 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, name: str, of) -> DataFra
     return rows.mapInArrow(run, f"node long, {name} array<long>")
 
 
+def simhash_pairs(df: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> DataFrame:
+    """Pairs (a < b) that connect all rows within ``radius`` bits of a SimHash of ``words``-word shingles."""
+    prints = stage(fingerprints(df.filter(F.col(id_col).isNotNull()), id_col, text_col, words).select("fp", F.col("doc_id").cast("long").alias("b")), "copies-prints")
+    nodes = stage(prints.groupBy("fp").agg(F.min("b").alias("node")), "copies-nodes")
+    same = prints.join(nodes, "fp").filter("b <> node").select(F.col("node").alias("a"), "b")
+    return stage(same.unionByName(near_prints(nodes, radius)).distinct(), "copies-simhash")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are alike enough."""
     of_a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
@@ -150,7 +161,7 @@ def _met(tiles: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, least: float = LEAST) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """(node, component) of the rows that have a near copy.
 
     Two rows are linked if the Jaccard similarity of their sets of ``words``-word
@@ -162,7 +173,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     keyed = stage(keyed.select("node", F.explode("k").alias("key")), "copies-keys")
     shared = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "copies-shared")
     members = stage(keyed.join(shared, "key").distinct(), "copies-members")
-    own = df.join(members.select(F.col("node").alias(id_col)).distinct(), id_col, "left_semi")
+    by_print = simhash_pairs(df, id_col, text_col, words, radius)
+    named = members.select("node").unionByName(by_print.select(F.explode(F.array("a", "b")).alias("node")))
+    own = df.join(named.select(F.col("node").alias(id_col)).distinct(), id_col, "left_semi")
     sets = stage(_mapped(own, id_col, text_col, "s", lambda t: shingles(t, words).view(np.int64)), "copies-sets")
 
     tried = edges = None
@@ -184,6 +197,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         spans = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
         return at.join(stage(spans.filter("lo < hi").select("key", "n"), "copies-spans"), "key")
 
+    checked(by_print)
     for r in range(STARS):
         now = stage(open_keys(), "copies-now")
         lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "c")).alias("l"))

@@ -68,3 +68,14 @@ def test_pipeline_drops_near_copies(spark, monkeypatch, part):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert kept == plain_kept(texts)
     assert len(kept) < len(texts)
+
+
+def test_simhash_links_without_shared_minima(spark, monkeypatch):
+    """Fingerprints alone find what they can, and only links that hold."""
+    monkeypatch.setattr(shingle_copies, "keys", lambda found: np.zeros(0, np.int64))
+    words = [f"w{i}" for i in range(4000)]
+    changed = [*words[:2000], "x", *words[2001:]]
+    texts = [" ".join(words), " ".join(changed), " ".join(words[::-1]), "one", "ONE", "two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r) for r in shingle_copies.near_copies(docs).collect()}
+    assert {(1, 0), (4, 3)} <= got and all(n in (0, 1, 3, 4) for n, _ in got)
