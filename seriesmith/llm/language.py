@@ -206,21 +206,39 @@ def identify_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return identify(docs, model, id_col="doc_id", text_col="text", host=F.col("source"), least=least)
 
 
-def identify_pages(pages: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Languages of web pages from text, markup, address suffix, folder and host."""
-    model = train_trigrams(docs, "text", "lang")
+def _page_rows(pages: DataFrame) -> DataFrame:
+    """page_id, _body, and the evidence beside it: _host, _domain, _declared, _suffix, _folder."""
     host = F.lower(F.regexp_extract(F.col("url"), HOST, 1))
     html = F.col("html")
-    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
-    return identify(
-        pages.withColumn("_body", body),
-        model,
-        id_col="page_id",
-        text_col="_body",
-        host=F.nullif(host, F.lit("")),
-        domain=F.substring_index(host, ".", -2),
-        declared=F.nullif(F.lower(F.regexp_extract(html, HTML_LANG, 1)), F.lit("")),
-        suffix=F.nullif(F.regexp_extract(host, SUFFIX, 1), F.lit("")),
-        folder=F.nullif(F.lower(F.regexp_extract(F.col("url"), FOLDER, 1)), F.lit("")),
-        least=least,
+    known = lambda c: F.nullif(c, F.lit(""))
+    return pages.select(
+        "page_id",
+        F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ").alias("_body"),
+        known(host).alias("_host"),
+        F.substring_index(host, ".", -2).alias("_domain"),
+        known(F.lower(F.regexp_extract(html, HTML_LANG, 1))).alias("_declared"),
+        known(F.regexp_extract(host, SUFFIX, 1)).alias("_suffix"),
+        known(F.lower(F.regexp_extract(F.col("url"), FOLDER, 1))).alias("_folder"),
     )
+
+
+def _fused(rows: DataFrame, docs: DataFrame, id_col: str, least: float, carry: list[str] | None = None) -> DataFrame:
+    """Languages of such rows by all evidence, trained on the documents' labels."""
+    given = {c: F.col(f"_{c}") for c in ("host", "domain", "declared", "suffix", "folder")}
+    return identify(rows, train_trigrams(docs, "text", "lang"), id_col=id_col, text_col="_body", carry=carry, least=least, **given)
+
+
+def identify_pages(pages: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """Languages of web pages from text, markup, address suffix, folder and host."""
+    return _fused(_page_rows(pages), docs, "page_id", least)
+
+
+def identify_corpus(docs: DataFrame, pages: DataFrame, least: float = LEAST) -> DataFrame:
+    """Languages of documents and pages by one model: doc_id or page_id, the other null.
+
+    Pages bring markup, address suffix, folder, host and domain; documents
+    have their source as host. All count in the same priors.
+    """
+    of_docs = docs.select("doc_id", F.col("text").alias("_body"), F.col("source").alias("_host"))
+    rows = of_docs.unionByName(_page_rows(pages), allowMissingColumns=True)
+    return _fused(rows, docs, "doc_id", least, ["page_id"])

@@ -124,3 +124,21 @@ def test_host_suffix_is_evidence(spark):
     pages = spark.createDataFrame([*rows, (100, url(100, "de"), body("12 34")), (101, url(101, "uk"), body("12 34"))], "page_id long, url string, html string")
     got = {r["page_id"]: r["language"] for r in identify_pages(pages, docs).collect()}
     assert got[100] == "de" and got[101] == "en"
+
+
+def test_op5_fuses_all_evidence(spark, tmp_path):
+    """One row a document and page; a page's markup, suffix and folder speak where its text does not."""
+    from seriesmith.llm.queries import op5_language
+
+    words = {"en": "the house and the garden", "de": "das haus und der garten"}
+    docs = spark.createDataFrame([(i, words[l], l, "src") for i, l in enumerate(["en", "de"] * 20)], "doc_id long, text string, lang string, source string")
+    page = lambda i, l, body: (i, f"http://host{i}.example.{l}/{l}/p", f'<html lang="{l}"><p>{body}</p></html>')
+    rows = [page(i, l, words[l]) for i, l in enumerate(["en", "de"] * 20)] + [page(40, "de", "12345"), page(41, "en", "12345")]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op5_language(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == list(range(40))
+    by_page = {r["page_id"]: r for r in got if r["page_id"] is not None}
+    assert sorted(by_page) == list(range(42)) and len(got) == 82
+    assert (by_page[40]["language"], by_page[41]["language"]) == ("de", "en") and not by_page[40]["kept"]
+    assert all(r["language"] == ("en", "de")[r["doc_id"] % 2] for r in got if r["doc_id"] is not None)
